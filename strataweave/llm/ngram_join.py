@@ -116,7 +116,7 @@ def similar_sets(docs: DataFrame, threshold: float, n: int, most: int, verify: f
                 yield pa.record_batch({"lead": pa.array(signed(own[at])), "s": pa.array(signed(key[at])), "one": pa.array(signed(usable(one, key, 1)[at])), "grams": lists(signed(gram), before).take(pa.array(at))})
 
     def compare(w):
-        def run(key, table: pa.Table) -> pa.Table:
+        def run(key, table):
             s = table["s"].to_numpy()
             first = np.sort(np.unique(s, return_index=True)[1])
             out = ([], [], [])

@@ -180,7 +180,7 @@ def counts_sketch(docs: DataFrame, text: str, keys, bits: int) -> np.ndarray:
             parts = total.reshape(blocks, -1)
             yield pa.record_batch({"block": pa.array(np.arange(blocks), pa.int32()), "counts": pa.array([x.tobytes() for x in parts], pa.binary())})
 
-    def add(key, table: pa.Table) -> pa.Table:
+    def add(key, table):
         total = np.zeros((1 << bits) // blocks, np.int64)
         for x in table["counts"].to_pylist():
             total += np.frombuffer(x, np.uint32)
@@ -202,7 +202,7 @@ def membership(keys: DataFrame, column: str, bits: int) -> np.ndarray:
     """A bitmap of 2**bits bits with one bit set for each 64-bit key. Fixed in size; one that fills up lets more through, never less."""
     block = 1 << 15
 
-    def mark(key, table: pa.Table) -> pa.Table:
+    def mark(key, table):
         on = np.zeros(block, bool)
         on[table["at"].to_numpy()] = True
         return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "on": pa.array([np.packbits(on).tobytes()], pa.binary())})
