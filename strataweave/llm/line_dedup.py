@@ -2,8 +2,9 @@
 
 A line is the set of its words (letters, digits and underlines in lower case). The words of a line are ordered by
 rarity, counted over the whole table. Two different sets whose Jaccard similarity reaches the threshold share a word
-within short prefixes of that order; prefix, length and position filters cut the pairs that can't reach it, and the
-rest are verified on their whole sets. Equal sets need no join. A line goes if an earlier line, by (doc_id, number of
+within short prefixes of that order; prefix, length and position filters cut the pairs that can't reach it, and so does
+the parity of the words in each of 64 classes, as two sets differ in a word at least for each class in which it
+differs. The rest are verified on their whole sets. Equal sets need no join. A line goes if an earlier line, by (doc_id, number of
 the line), has an equal or a similar set.
 
 Defined cases: a row whose doc_id or text is null, an empty text and a line without words neither go nor make others
@@ -20,13 +21,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import U64, WORD, counts_sketch, hashes, lists, member, membership, owners, pieces, rarity, ready, set_keys, signed, spans, strings, unique_by_owner
+from .text import U64, WORD, Seen, counts_sketch, hashes, lists, member, membership, owners, pieces, rarity, ready, set_keys, signed, spans, strings, unique_by_owner
 
 THRESHOLD = 0.9
 SKETCH_BITS = 20
 BITMAP_BITS = 25
 
 
+def parity(values: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """64 bits for each owner: whether it has an odd number of values whose last six bits say so."""
+    out = np.zeros(len(before) - 1, U64)
+    some = np.flatnonzero(np.diff(before))
+    if len(some):
+        out[some] = np.bitwise_xor.reduceat(U64(1) << (values & U64(63)), before[some])
+    return out
+
+
 def line_words(piece: pa.RecordBatch, text: str):
     """(hashes of the words of all lines, words before each line, document of each line, number of each line)."""
     buf, off = strings(piece[text], lower=True)
@@ -56,19 +66,18 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     ranks = spark.sparkContext.broadcast(rarity(counts_sketch(docs, "text", lambda p: line_words(p, "text")[0], sketch_bits)))
 
     def entries(batches):
+        seen = Seen()
         for batch in batches:
             for piece in pieces(batch, "text"):
                 words, before, _, _ = line_sets(piece, "text", ranks.value)
                 n, key = np.diff(before), set_keys(words, before)
-                use = np.zeros(len(n), bool)
-                use[np.unique(key, return_index=True)[1]] = True
-                use &= n >= least
+                use = seen.new(key) & (n >= least)
                 length = np.where(use, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, 0)
                 line = np.repeat(np.arange(len(n)), length)
                 pos = np.arange(len(line)) - (np.cumsum(length) - length)[line]
-                yield pa.record_batch({"word": pa.array(signed(words[before[line] + pos])), "s": pa.array(signed(key[line])), "meta": pa.array(n[line] << 31 | pos)})
+                yield pa.record_batch({"word": pa.array(signed(words[before[line] + pos])), "s": pa.array(signed(key[line])), "meta": pa.array(n[line] << 31 | pos), "mask": pa.array(signed(parity(words, before)[line]))})
 
-    entry = docs.select("text").mapInArrow(entries, "word long, s long, meta long").repartition("word").dropDuplicates(["word", "s", "meta"])
+    entry = docs.select("text").mapInArrow(entries, "word long, s long, meta long, mask long").repartition("word").dropDuplicates(["word", "s", "meta", "mask"])
     n, pos = (lambda a: F.shiftright(f"{a}.meta", 31)), (lambda a: F.col(f"{a}.meta").bitwiseAND(F.lit((1 << 31) - 1).cast("long")))
     short = entry.where(F.expr(f"(meta & {(1 << 31) - 1}L) < shiftright(meta, 31) - ceil({2 * threshold / (1 + threshold)!r}D * shiftright(meta, 31) - 1e-9D) + 1"))
     pairs = (
@@ -77,28 +86,36 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
         .where((n("a") < n("b")) | ((n("a") == n("b")) & (F.col("a.s") < F.col("b.s"))))
         .where(n("a") >= F.lit(threshold) * n("b") - 1e-9)
         .where(F.least(n("a") - pos("a"), n("b") - pos("b")) >= F.lit(threshold / (1 + threshold)) * (n("a") + n("b")) - 1e-9)
+        .where(F.bit_count(F.col("a.mask").bitwiseXOR(F.col("b.mask"))) <= F.lit((1 - threshold) / (1 + threshold)) * (n("a") + n("b")) + 1e-9)
         .select(F.col("a.s").alias("sa"), F.col("b.s").alias("sb"))
         .distinct()
         .checkpoint()
     )
     wanted = spark.sparkContext.broadcast(membership(pairs.select(F.explode(F.array("sa", "sb")).alias("s")), "s", bitmap_bits))
 
-    def lines(batches, sets: bool):
+    def names(batches):
         for batch in batches:
             for piece in pieces(batch, "text"):
                 words, before, doc, number = line_sets(piece, "text")
+                at = np.flatnonzero(np.diff(before))
+                yield pa.record_batch({"s": pa.array(signed(set_keys(words, before)[at])), "doc_id": piece["doc_id"].take(pa.array(doc[at])), "line": pa.array(number[at].astype(np.int32))})
+
+    def members(batches):
+        seen = Seen()
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                words, before, _, _ = line_sets(piece, "text")
                 key = set_keys(words, before)
-                use = np.diff(before) > 0
-                if sets:
-                    use &= member(wanted.value, key)
-                at = np.flatnonzero(use)
-                out = {"s": pa.array(signed(key[at])), "doc_id": piece["doc_id"].take(pa.array(doc[at])), "line": pa.array(number[at].astype(np.int32))}
-                if sets:
-                    out["words"] = lists(signed(words), before).take(pa.array(at))
-                yield pa.record_batch(out)
-
-    sets = docs.mapInArrow(lambda b: lines(b, True), "s long, doc_id long, line int, words array<long>")
-    sets = sets.groupBy("s").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.max("words").alias("words")).checkpoint()
+                some = np.flatnonzero(np.diff(before))
+                some = some[member(wanted.value, key[some])]
+                at = some[seen.new(key[some])]
+                yield pa.record_batch({"s": pa.array(signed(key[at])), "words": lists(signed(words), before).take(pa.array(at))})
+
+    line = docs.mapInArrow(names, "s long, doc_id long, line int").checkpoint()
+    # a line that is everywhere has one first place, found by partial aggregation; joining it back is split where it is skewed
+    first = line.groupBy("s").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+    word = docs.select("text").mapInArrow(members, "s long, words array<long>").dropDuplicates(["s"])
+    sets = word.join(first, "s").checkpoint()
     shared = F.size(F.array_intersect("wa", "wb"))
     similar = (
         pairs.join(sets.select(F.col("s").alias("sa"), F.col("first").alias("fa"), F.col("words").alias("wa")), "sa")
@@ -108,12 +125,10 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     )
     other = similar.select(F.inline(F.array(F.struct(F.col("sa").alias("s"), F.col("fb").alias("first"), "jaccard"), F.struct(F.col("sb").alias("s"), F.col("fa").alias("first"), "jaccard"))))
     other = other.groupBy("s").agg(F.min(F.struct("first", "jaccard")).alias("other"))
-    all_lines = docs.mapInArrow(lambda b: lines(b, False), "s long, doc_id long, line int")
-    same = F.first(F.struct("doc_id", "line")).over(Window.partitionBy("s").orderBy("doc_id", "line").rowsBetween(Window.unboundedPreceding, 0))
+    known = first.join(other, "s", "left").select("s", F.col("first").alias("same"), "other")
     best = F.when(F.col("other.first") < F.col("same"), F.col("other")).otherwise(F.struct(F.col("same").alias("first"), F.lit(1.0).alias("jaccard")))
     return (
-        all_lines.withColumn("same", same)
-        .join(other, "s", "left")
+        line.join(known, "s")
         .withColumn("best", best)
         .where(F.col("best.first") < F.struct("doc_id", "line"))
         .select("doc_id", "line", F.col("best.first.doc_id").alias("kept_doc_id"), F.col("best.first.line").alias("kept_line"), F.col("best.jaccard").alias("jaccard"))

@@ -220,6 +220,23 @@ def member(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> U64(3)).astype(np.int64)] >> (7 - (at & U64(7))).astype(np.uint8)) & 1 == 1
 
 
+class Seen:
+    """Which keys a task has met already; it forgets all when there are too many, so that its memory is bounded and some may count as new again."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.most, self.keys = most, np.zeros(0, U64)
+
+    def new(self, keys: np.ndarray) -> np.ndarray:
+        """True at the first place of each key that wasn't met before."""
+        names, first = np.unique(keys, return_index=True)
+        at = np.minimum(np.searchsorted(self.keys, names), max(0, len(self.keys) - 1))
+        fresh = np.ones(len(names), bool) if not len(self.keys) else self.keys[at] != names
+        self.keys = np.union1d(self.keys, names[fresh]) if len(self.keys) <= self.most else names
+        out = np.zeros(len(keys), bool)
+        out[first[fresh]] = True
+        return out
+
+
 def set_keys(values: np.ndarray, before: np.ndarray) -> np.ndarray:
     """A hash of the set of values of each owner, whatever their order."""
     total = np.zeros(len(values) + 1, U64)
