@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import U64, WORD, counts_sketch, hashes, lists, member, membership, mix, ngrams, owners, pieces, rarity, ready, set_keys, signed, spans, strings, unique_by_owner
+from .text import U64, WORD, Seen, counts_sketch, hashes, lists, member, membership, mix, ngrams, owners, pieces, rarity, ready, set_keys, signed, spans, strings, unique_by_owner
 
 N = 3
 THRESHOLD = 0.7
 MOST_MATCHES = 4
 VERIFY_COST = 8.0
 BLOCK = 4000
+TOGETHER = 1000
 SKETCH_BITS = 20
 BITMAP_BITS = 25
 
@@ -76,6 +77,51 @@ def leads(gram: np.ndarray, before: np.ndarray, index: np.ndarray) -> tuple[np.n
     return mix(one), two
 
 
+def verified(pairs: DataFrame, met: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
+    """sa, sb and jaccard of the pairs (sa, sb) that are similar; full has the grams of each set s.
+
+    Sets of a crowd of near copies have hundreds of partners each. So that their grams aren't sent once a pair, sets
+    are named after the least set they meet, which is much the same throughout a crowd, and the pairs of two names are
+    verified together, in blocks of TOGETHER sets.
+    """
+    both = lambda df: df.select(F.inline(F.array(F.struct(F.col("sa").alias("s"), F.col("sb").alias("o")), F.struct(F.col("sb").alias("s"), F.col("sa").alias("o")))))
+    name = both(pairs.union(met.select("sa", "sb"))).groupBy("s").agg(F.least(F.first("s"), F.min("o")).alias("name"))
+    named = pairs.join(name.select(F.col("s").alias("sa"), F.col("name").alias("na")), "sa").join(name.select(F.col("s").alias("sb"), F.col("name").alias("nb")), "sb")
+    named = named.select("sa", "sb", F.least("na", "nb").alias("na"), F.greatest("na", "nb").alias("nb")).checkpoint()
+    size = named.select("na", "nb", F.explode(F.array("sa", "sb")).alias("s")).distinct().groupBy("na", "nb").count()
+    parts = F.ceil(F.col("count") / F.lit(TOGETHER))
+    block = named.join(size, ["na", "nb"]).select("sa", "sb", F.xxhash64("na", "nb", F.pmod(F.xxhash64("sa"), parts), F.pmod(F.xxhash64("sb"), parts)).alias("block"))
+    total = size.agg(F.sum("count")).first()[0] or 0
+    block = block.select(F.pmod("block", F.lit(total // TOGETHER + 1)).alias("block"), "sa", "sb")
+    sets = block.select("block", F.explode(F.array("sa", "sb")).alias("s")).distinct().join(full, "s").select("block", "s", "grams")
+
+    def check(left, right):
+        s = left["s"].to_numpy()
+        order = np.argsort(s)
+        s, grams = s[order], left["grams"].combine_chunks().take(pa.array(order))
+        size = np.diff(grams.offsets.to_numpy()) if len(s) else np.zeros(0, np.int64)
+        names, flat = np.unique(grams.flatten().to_numpy(), return_inverse=True)
+        start = np.append(0, np.cumsum(size)).astype(np.int64)
+        a, b = np.searchsorted(s, right["sa"].to_numpy()), np.searchsorted(s, right["sb"].to_numpy())
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        shared, on = np.zeros(len(a), np.int64), np.zeros(len(names), np.uint8)
+        cuts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
+        for i, j in zip(cuts, np.r_[cuts[1:], len(a)]):
+            mine, width = flat[start[a[i]] : start[a[i] + 1]], size[b[i:j]].astype(np.int64)
+            on[mine] = 1
+            first = np.cumsum(width) - width
+            at = np.repeat(start[b[i:j]] - first, width) + np.arange(width.sum())
+            shared[i:j] = np.add.reduceat(on[flat[at]], first, dtype=np.int64)
+            on[mine] = 0
+        j = shared / (size[a] + size[b] - shared)
+        hit = j >= threshold - 1e-9
+        return pa.table({"sa": pa.array(s[a[hit]]), "sb": pa.array(s[b[hit]]), "jaccard": pa.array(j[hit])})
+
+    linked = block.select(F.col("block").alias("place"), "sa", "sb")
+    return sets.groupBy("block").cogroup(linked.groupBy("place")).applyInArrow(check, "sa long, sb long, jaccard double")
+
+
 def similar_sets(docs: DataFrame, threshold: float, n: int, most: int, verify: float, block: int, sketch_bits: int, bitmap_bits: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id and its set s for each document; sa, sb and jaccard of the pairs of different similar sets)."""
     spark = ready(docs.sparkSession)
@@ -104,15 +150,15 @@ def similar_sets(docs: DataFrame, threshold: float, n: int, most: int, verify: f
         return np.where(np.isin(lead, over[w].value), mix(key + U64(w)), lead)
 
     def whole(batches, w):
+        seen = Seen()
         for batch in batches:
             for piece in pieces(batch, "text"):
                 gram, _, before = gram_sets(piece, "text", n, ranks.value)
                 size, key = np.diff(before), set_keys(gram, before)
                 one, two = leads(gram, before, prefix_lengths(size, threshold)[1])
                 own = (one, two)[w - 1]
-                use = np.zeros(len(size), bool)
-                use[np.unique(key, return_index=True)[1]] = True
-                at = np.flatnonzero(use & (size > 0) & member(held[w].value, own) & ~np.isin(own, over[w].value))
+                at = np.flatnonzero((size > 0) & member(held[w].value, own) & ~np.isin(own, over[w].value))
+                at = at[seen.new(key[at])]
                 yield pa.record_batch({"lead": pa.array(signed(own[at])), "s": pa.array(signed(key[at])), "one": pa.array(signed(usable(one, key, 1)[at])), "grams": lists(signed(gram), before).take(pa.array(at))})
 
     def compare(w):
@@ -152,12 +198,12 @@ def similar_sets(docs: DataFrame, threshold: float, n: int, most: int, verify: f
     met = compare(1).union(compare(2)).checkpoint()
 
     def entries(batches):
+        seen = Seen()
         for batch in batches:
             for piece in pieces(batch, "text"):
                 gram, rank, before = gram_sets(piece, "text", n, ranks.value)
                 size, key = np.diff(before), set_keys(gram, before)
-                use = np.zeros(len(size), bool)
-                use[np.unique(key, return_index=True)[1]] = True
+                use = seen.new(key)
                 look, index = prefix_lengths(size, threshold)
                 ell = matches(size, before, look, price.value[rank], threshold, most, verify)
                 one, two = leads(gram, before, index)
@@ -174,7 +220,8 @@ def similar_sets(docs: DataFrame, threshold: float, n: int, most: int, verify: f
         entry.alias("y")
         .join(entry.alias("x"), F.expr("x.gram = y.gram"))
         .where(F.expr(f"({size('y')} < {size('x')} or ({size('y')} = {size('x')} and y.s < x.s)) and {size('y')} >= {threshold!r}D * {size('x')} - 1e-9D"))
-        .where(F.expr(f"{pos('x')} < {part('x', threshold)} + {ell('x')} and {pos('y')} < {part('y', 2 * threshold / (1 + threshold))} + {ell('x')}"))
+        # one condition of both sides: two of one side each would be pushed below the shuffle, which then couldn't be shared
+        .where(F.expr(f"least({part('x', threshold)} - {pos('x')}, {part('y', 2 * threshold / (1 + threshold))} - {pos('y')}) + {ell('x')} > 0"))
         .where(F.expr("shiftright(x.lead, 32) != shiftright(y.lead, 32) and (x.lead & 4294967295L) != (y.lead & 4294967295L)"))
         .groupBy(F.col("x.s").alias("sa"), F.col("y.s").alias("sb"))
         .agg(F.count(F.lit(1)).alias("found"), F.max("x.meta").alias("mx"), F.max("y.meta").alias("my"))
@@ -185,17 +232,17 @@ def similar_sets(docs: DataFrame, threshold: float, n: int, most: int, verify: f
     wanted = share(membership(pairs.select(F.explode(F.array("sa", "sb")).alias("s")), "s", bitmap_bits))
 
     def chosen(batches):
+        seen = Seen()
         for batch in batches:
             for piece in pieces(batch, "text"):
                 gram, _, before = gram_sets(piece, "text", n, ranks.value)
                 key = set_keys(gram, before)
                 at = np.flatnonzero((np.diff(before) > 0) & member(wanted.value, key))
+                at = at[seen.new(key[at])]
                 yield pa.record_batch({"s": pa.array(signed(key[at])), "grams": lists(signed(gram), before).take(pa.array(at))})
 
     full = docs.select("text").mapInArrow(chosen, "s long, grams array<long>").dropDuplicates(["s"])
-    both = pairs.join(full.select(F.col("s").alias("sa"), F.col("grams").alias("ga")), "sa").join(full.select(F.col("s").alias("sb"), F.col("grams").alias("gb")), "sb")
-    shared = F.size(F.array_intersect("ga", "gb"))
-    far = both.select("sa", "sb", (shared / (F.size("ga") + F.size("gb") - shared)).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-9)
+    far = verified(pairs, met, full, threshold)
     return head.select("doc_id", "s").distinct(), met.union(far)
 
 
