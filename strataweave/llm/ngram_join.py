@@ -7,8 +7,9 @@ least estimated cost is taken (grams looked up, times their counts, plus the ver
 lead to at most), and only pairs with l shared prefix grams are verified, on their whole sets.
 
 Thousands of copies would make that many squared rows of the same few pairs, each repeated for every gram they share.
-So each set also names two lead grams, the least under two orders, of its index prefix. Sets with the same lead are
-brought together once and compared there, all with all; the prefix join leaves such pairs out. A lead that more than
+So each set also names two lead grams, its least under two random orders. Sets with the same lead are
+brought together once and compared there, all with all; the prefix join leaves such pairs out, which are nine in
+ten of those that are similar at all. A lead that more than
 BLOCK sets share isn't used as a lead, and these pairs stay in the prefix join. Both ways are exact.
 
 Defined cases: rows whose doc_id or text is null, and texts without words, match nothing. Rows that repeat an id and a
@@ -65,16 +66,14 @@ def matches(n: np.ndarray, before: np.ndarray, look: np.ndarray, cost: np.ndarra
     return ell
 
 
-def leads(gram: np.ndarray, before: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first gram of each set, and the least of its index prefix under another order."""
-    at = np.repeat(np.arange(len(index)), index)
-    pos = np.arange(len(at)) - (np.cumsum(index) - index)[at]
-    some = index > 0
-    one, two = np.zeros(len(index), U64), np.zeros(len(index), U64)
-    one[some] = gram[before[:-1][some]]
-    if len(at):
-        two[some] = np.minimum.reduceat(mix(gram[before[at] + pos] ^ U64(0x5851F42D4C957F2D)), (np.cumsum(index) - index)[some])
-    return mix(one), two
+def leads(gram: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least of all grams of each set under two random orders: two sets share each with the probability of their similarity."""
+    some = np.flatnonzero(np.diff(before))
+    out = np.zeros((2, len(before) - 1), U64)
+    for k, salt in enumerate((0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)):
+        if len(some):
+            out[k, some] = np.minimum.reduceat(mix(gram ^ U64(salt)), before[some])
+    return mix(out[0]), mix(out[1])
 
 
 def verified(pairs: DataFrame, met: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
@@ -136,7 +135,7 @@ def similar_sets(docs: DataFrame, threshold: float, n: int, most: int, verify: f
                 gram, _, before = gram_sets(piece, "text", n, ranks.value)
                 size = np.diff(before)
                 use = np.flatnonzero(size > 0)
-                one, two = leads(gram, before, prefix_lengths(size, threshold)[1])
+                one, two = leads(gram, before)
                 yield pa.record_batch({"doc_id": piece["doc_id"].take(pa.array(use)), "s": pa.array(signed(set_keys(gram, before)[use])), "one": pa.array(signed(one[use])), "two": pa.array(signed(two[use]))})
 
     head = docs.mapInArrow(heads, "doc_id long, s long, one long, two long").checkpoint()
@@ -155,7 +154,7 @@ def similar_sets(docs: DataFrame, threshold: float, n: int, most: int, verify: f
             for piece in pieces(batch, "text"):
                 gram, _, before = gram_sets(piece, "text", n, ranks.value)
                 size, key = np.diff(before), set_keys(gram, before)
-                one, two = leads(gram, before, prefix_lengths(size, threshold)[1])
+                one, two = leads(gram, before)
                 own = (one, two)[w - 1]
                 at = np.flatnonzero((size > 0) & member(held[w].value, own) & ~np.isin(own, over[w].value))
                 at = at[seen.new(key[at])]
@@ -206,7 +205,7 @@ def similar_sets(docs: DataFrame, threshold: float, n: int, most: int, verify: f
                 use = seen.new(key)
                 look, index = prefix_lengths(size, threshold)
                 ell = matches(size, before, look, price.value[rank], threshold, most, verify)
-                one, two = leads(gram, before, index)
+                one, two = leads(gram, before)
                 lead = (usable(one, key, 1) >> U64(32) << U64(32)) | (usable(two, key, 2) >> U64(32))
                 length = np.where(use, np.minimum(np.maximum(look + ell - 1, index + most - 1), size), 0)
                 own = np.repeat(np.arange(len(size)), length)
