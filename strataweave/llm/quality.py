@@ -36,6 +36,8 @@ MOST_POSITIVES = 20_000
 RIDGE = 1e-4
 BINS = 2000
 BLOCK = 1 << 13
+#: Bytes of text described at once: arrays of this size stay in the processor's cache.
+PIECE = 500_000
 
 CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".", ",", "!?", ":;", "'\"`", "()[]{}", "|", "#$%&*+=@^~<>\\", "-/_")
 CLASS = np.full(256, len(CLASSES), np.uint16)
@@ -88,7 +90,7 @@ def moments(docs: DataFrame, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray
     def gather(batches):
         both = np.zeros((2, WIDTH, WIDTH))
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE):
                 x, ok = describe(piece["text"])
                 known = np.isin(piece["doc_id"].fill_null(0).to_numpy(), ids.value) & piece["doc_id"].is_valid().to_numpy(zero_copy_only=False) & ok
                 both[0] += x[ok].T @ x[ok]
@@ -150,7 +152,7 @@ def histogram(docs: DataFrame, weights: np.ndarray, held: np.ndarray, bins: int
         w, ids = shared.value
         total = np.zeros((2, bins), np.int64)
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE):
                 x, ok = describe(piece["text"])
                 at = np.clip((x @ w + 2) * bins / 4, 0, bins - 1).astype(np.int64)
                 known = np.isin(piece["doc_id"].fill_null(0).to_numpy(), ids) & piece["doc_id"].is_valid().to_numpy(zero_copy_only=False)
@@ -207,7 +209,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def judge(batches):
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE):
                 score, known, good = judged(piece["text"], shared.value)
                 yield pa.record_batch({"doc_id": piece["doc_id"], "score": pa.array(score, mask=~known), "accepted": pa.array(good)})
 
@@ -221,7 +223,7 @@ def only_accepted(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     def keep(batches):
         for batch in batches:
             names = [f"c{k}" for k in range(batch.num_columns)]
-            for piece in pieces(pa.RecordBatch.from_arrays(batch.columns, names=names), f"c{place}"):
+            for piece in pieces(pa.RecordBatch.from_arrays(batch.columns, names=names), f"c{place}", PIECE):
                 good = judged(piece[f"c{place}"], shared.value)[2]
                 yield pa.RecordBatch.from_arrays(piece.filter(pa.array(good)).columns, names=batch.schema.names)
 
