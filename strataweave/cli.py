@@ -111,7 +111,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             if seeds is None and not args.query:
                 print("a seed or --diff is needed", file=sys.stderr)
                 return 2
-            _show(query.impact(graph, args.query or "", seeds, args.budget, args.hops, query.DEPENDENCIES if args.deps else query.DEPENDENTS), args)
+            _show(query.impact(graph, args.query or "", seeds, args.budget, query.DEPENDENCIES if args.deps else query.DEPENDENTS, args.hops), args)
         case "why":
             got = query.why(graph, args.a, args.b)
             _show(got, args)

@@ -16,7 +16,7 @@ _ATTRIBUTE = r"""(?iU)(?:src|href)\s*=\s*['"]([^\s>'"]{1,300})"""
 _DECISION = r"(?U)\b((?:ADR-|RFC-|D-[A-Z]{1,8}-)\d{1,5})\b"
 _SPECIFIER = r"""(?U)(?:require\(\s*|export\s[^"']*?from\s*|import\s[^"']*?from\s*|import\s*)["']([^"']+)["']"""
 _CLASS = r"(?U)\b([A-Z_a-z]\w*)::class\b"
-_LISTEN = r"(?U)\b([A-Z_a-z]\w*)::class\s*=>\s*\[([^\]]*)\]"
+_LISTEN = r"(?U)\b([A-Z_a-z]\w*)::class\s*=>[\s]*\[([^]]*)]"
 
 
 def every(text: Column, pattern: str, group: int = 1) -> Column:

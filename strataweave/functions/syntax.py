@@ -16,14 +16,17 @@ _IMPORT_TYPE = pa.list_(pa.struct([("level", pa.int32()), ("module", pa.string()
 
 #: Definitions and calls by language of the optional grammars: node type -> kind of symbol, and node types of calls.
 GRAMMARS = {
-    "javascript": ({"class_declaration": "class", "function_declaration": "function", "generator_function_declaration": "function", "method_definition": "function"}, {"call_expression", "new_expression"}),
-    "go": ({"function_declaration": "function", "method_declaration": "function", "type_spec": "class"}, {"call_expression"}),
-    "rust": ({"enum_item": "class", "function_item": "function", "struct_item": "class", "trait_item": "class"}, {"call_expression", "macro_invocation"}),
-    "java": ({"class_declaration": "class", "constructor_declaration": "function", "enum_declaration": "class", "interface_declaration": "class", "method_declaration": "function"}, {"method_invocation", "object_creation_expression"}),
-    "php": ({"class_declaration": "class", "function_definition": "function", "interface_declaration": "class", "method_declaration": "function", "trait_declaration": "class"}, {"function_call_expression", "member_call_expression", "object_creation_expression", "scoped_call_expression"}),
+    language: ({t: "class" for t in classes.split()} | {t: "function" for t in routines.split()}, set(calls.split()))
+    for language, classes, routines, calls in (
+        ("javascript", "class_declaration", "function_declaration generator_function_declaration method_definition", "call_expression new_expression"),
+        ("go", "type_spec", "function_declaration method_declaration", "call_expression"),
+        ("rust", "enum_item struct_item trait_item", "function_item", "call_expression macro_invocation"),
+        ("java", "class_declaration enum_declaration interface_declaration", "constructor_declaration method_declaration", "method_invocation object_creation_expression"),
+        ("php", "class_declaration interface_declaration trait_declaration", "function_definition method_declaration", "function_call_expression member_call_expression object_creation_expression scoped_call_expression"),
+    )
 }
 GRAMMARS["typescript"] = GRAMMARS["tsx"] = (GRAMMARS["javascript"][0] | {"abstract_class_declaration": "class", "interface_declaration": "class"}, GRAMMARS["javascript"][1])
-LANGUAGES = {".cjs": "javascript", ".go": "go", ".java": "java", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".php": "php", ".rs": "rust", ".ts": "typescript", ".tsx": "tsx"}
+LANGUAGES = {f".{end}": language for language, ends in (("go", "go"), ("java", "java"), ("javascript", "cjs js jsx mjs"), ("php", "php"), ("rust", "rs"), ("tsx", "tsx"), ("typescript", "ts")) for end in ends.split()}
 SYMBOL_TYPES = {*LANGUAGES, ".vue"}
 
 
@@ -37,13 +40,12 @@ def _calls(node: ast.AST, skip: set[int]) -> list[str]:
     stack = [*ast.iter_child_nodes(node)][::-1]
     while stack:
         child = stack.pop()
-        if id(child) in skip:
-            continue
-        if isinstance(child, ast.Call):
-            name = getattr(child.func, "id", None) or getattr(child.func, "attr", None)
+        if id(child) not in skip:
+            called = getattr(child, "func", None) if type(child) is ast.Call else None
+            name = getattr(called, "id", None) or getattr(called, "attr", None)
             if name:
                 seen.setdefault(name)
-        stack.extend([*ast.iter_child_nodes(child)][::-1])
+            stack.extend([*ast.iter_child_nodes(child)][::-1])
     return list(seen)
 
 
@@ -112,7 +114,7 @@ def symbols_of(ext: str, source: str) -> list[dict]:
     if ext != ".vue":
         return grammar_symbols(LANGUAGES[ext], source)
     out = []
-    for m in re.finditer(r"(?is)<script([^>]*)>(.*?)</script>", source):
+    for m in re.finditer(r"(?is)<script\b([^>]*)>((?:.)*?)<[/]script>", source):
         typed = re.search(r"(?i)lang\s*=\s*[\"']tsx?[\"']", m[1])
         out += grammar_symbols("typescript" if typed else "javascript", m[2], 1 + source[: m.start(2)].count("\n"))
     return out

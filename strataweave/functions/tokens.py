@@ -37,8 +37,7 @@ def compact_row(node_id: Column, kind: Column, category: Column, size: Column, l
 
 def human_size(n: float) -> str:
     """1024-step units; bytes without decimals."""
-    for unit in ("B", "KB", "MB", "GB"):
-        if n < 1024:
-            return f"{n:.0f} {unit}" if unit == "B" else f"{n:.1f} {unit}"
-        n /= 1024
-    return f"{n:.1f} TB"
+    power = 0
+    while n >= 1024 and power < 4:
+        n, power = n / 1024, power + 1
+    return f"{n:.{min(power, 1)}f} {'B KB MB GB TB'.split()[power]}"

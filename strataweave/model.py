@@ -17,7 +17,7 @@ OTHER_WEIGHT = 0.5
 #: Edges along which a change spreads, and those that make one file need another.
 SPREADING = ("calls", "defines", "imports", "references")
 NEEDING = ("calls", "imports", "references")
-LAYERS = ("entrypoint", "api", "service", "core", "data", "ui", "util", "tests", "config", "docs", "other")
+LAYERS = tuple("entrypoint api service core data ui util tests config docs other".split())
 KIND_COLOURS = {"area": "#ef6c00", "decision": "#8e24aa", "file": "#1e66b4", "session": "#78909c", "symbol": "#2e8b57"}
 EDGE_COLOURS = {"belongs_to": "#b0bec5", "calls": "#2e8b57", "defines": "#4db6ac", "imports": "#1e66b4", "mentions": "#8e24aa", "references": "#ef6c00", "touches": "#90a4ae"}
 ROOT_AREA = "(root)"

@@ -60,7 +60,7 @@ def to_jgf(graph: Graph) -> str:
     nodes = jgf_nodes(graph).orderBy("id").toLocalIterator(prefetchPartitions=True)
     edges = graph.edges.orderBy("src", "dst", "type").toLocalIterator(prefetchPartitions=True)
     entry = lambda e: {"source": e["src"], "target": e["dst"], "relation": e["type"], **({"metadata": e["meta"]} if e["meta"] else {})}
-    whole = {"directed": True, "label": graph.project, "metadata": {"generator": GENERATOR, "schema_version": SCHEMA_VERSION}, "nodes": {n["id"]: {"label": n["label"], "metadata": json.loads(n["facts"])} for n in nodes}, "edges": [entry(e) for e in edges]}
+    whole = dict(directed=True, label=graph.project, metadata=dict(generator=GENERATOR, schema_version=SCHEMA_VERSION), nodes={n["id"]: {"label": n["label"], "metadata": json.loads(n["facts"])} for n in nodes}, edges=[entry(e) for e in edges])
     return json.dumps({"graph": whole}, ensure_ascii=False, indent=2)
 
 
@@ -80,7 +80,7 @@ def dot_lines(graph: Graph) -> DataFrame:
 
 
 def to_dot(graph: Graph) -> str:
-    name = graph.project.replace("\\", "\\\\").replace('"', '\\"')
+    name = "".join("\\" + c if c in "\\\"" else c for c in graph.project)
     lines = _sorted(dot_lines(graph), "line", "part", "a", "b", "c")
     return "\n".join([f'digraph "{name}" {{', "  rankdir=LR;", "  node [fontsize=10, shape=ellipse, style=filled];", *lines, "}"])
 
@@ -116,4 +116,5 @@ addEventListener('resize',draw);q.oninput=draw;draw()</script>"""
 
 def render_view(graph: Graph) -> str:
     """A page that needs no network. Every < of the data is escaped, so no name can end the script that holds it."""
-    return PAGE.replace("%s", json.dumps(view_payload(graph), ensure_ascii=False).replace("<", "\\u003c"))
+    data = json.dumps(view_payload(graph), ensure_ascii=False)
+    return PAGE.replace("%s", "\\u003c".join(data.split("<")))

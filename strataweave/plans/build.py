@@ -19,9 +19,9 @@ from ..model import EDGE_COLUMNS, ROOT_AREA, Graph, edges_frame, graph_of, nodes
 
 SCRIPT_TYPES = [f".{x}" for x in "cjs js jsx mjs ts tsx vue".split()]
 DOCUMENT_TYPES = [f".{x}" for x in "adoc htm html markdown md rst txt".split()]
-RUNTIME_TYPES = [".cjs", ".js", ".jsx", ".mjs"]
+RUNTIME_TYPES = [f".{x}" for x in "cjs js jsx mjs".split()]
 SUFFIXES = ["", *(f".{x}" for x in "ts tsx js jsx mjs cjs vue".split()), *(f"/index.{x}" for x in "ts js vue".split())]
-PACKAGE_ENTRIES = ["src/index", "index", "src", ""]
+PACKAGE_ENTRIES = "src/index|index|src|".split("|")
 
 
 def file_nodes(corpus: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from ..operators.rank import LocalGraph, is_small, pagerank, top_ranked
 from ..operators.traverse import expanded, file_needs, reach, reading_order, resolve_one, resolve_seeds, shortest_path, steps
 
 DEPENDENTS, DEPENDENCIES = "dependents", "dependencies"
+Answer = dict[str, Any]
 
 
 def area_digest(graph: Graph, top: int | None = 8) -> DataFrame:
@@ -35,7 +36,7 @@ def layer_summary(graph: Graph) -> DataFrame:
     return files.groupBy("layer").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("size")).orderBy(place)
 
 
-def project_map(graph: Graph, top: int = 8) -> dict[str, Any]:
+def project_map(graph: Graph, top: int = 8) -> Answer:
     """The digest of a project."""
     n = g.counts(graph).collect()
     kinds, types = ({r["name"]: r["n"] for r in n if r["what"] == w} for w in ("node", "edge"))
@@ -64,17 +65,17 @@ def neighbour_rows(graph: Graph, node_id: str) -> DataFrame:
     return out.union(back).join(graph.nodes.select("id", "kind"), "id", "left").select("dir", "id", F.coalesce("kind", F.lit("?")).alias("kind"), "edge")
 
 
-def neighbors(graph: Graph, node_id: str) -> dict[str, Any] | None:
+def neighbors(graph: Graph, of: str) -> Answer | None:
     """A node and its typed connections; None if there is no such node."""
-    node = graph.nodes.where(F.col("id") == node_id).first()
+    node = graph.nodes.where(F.col("id") == of).first()
     if node is None:
         return None
-    rows = neighbour_rows(graph, node_id).orderBy("id", "edge").collect()
+    rows = neighbour_rows(graph, of).orderBy("id", "edge").collect()
     side = lambda d: [{"id": r["id"], "kind": r["kind"], "edge": r["edge"]} for r in rows if r["dir"] == d]
     return {"id": node["id"], "kind": node["kind"], "path": node["path"], "size": node["size"] or 0, "description": node["description"], "broken_refs": node["broken_refs"] or [], "outgoing": side("out"), "incoming": side("in")}
 
 
-def _answer(rows: list, columns: list[str]) -> list[dict[str, Any]]:
+def _answer(rows: list, columns: list[str]) -> list[Answer]:
     return [{c: r[c] for c in columns if c in ("id", "kind", "deg", "score", "dist") or r[c] is not None} for r in rows]
 
 
@@ -90,10 +91,10 @@ def focus_rows(graph: Graph, seeds: list[str], budget: int = 1500) -> DataFrame:
     return within_budget(graph, pagerank(graph, given), budget)
 
 
-def focus(graph: Graph, query: str, budget: int = 1500) -> dict[str, Any]:
+def focus(graph: Graph, query: str, budget: int = 1500) -> Answer:
     """The smallest subgraph that matters for a task, a path or an id, within a budget of tokens."""
     seeds = resolve_seeds(graph, query)
-    out: dict[str, Any] = {"query": query, "seeds": seeds[:10], "budget_tokens": budget, "used_tokens": 0, "nodes": [], "edges": []}
+    out: Answer = dict(query=query, seeds=seeds[:10], budget_tokens=budget, used_tokens=0, nodes=[], edges=[])
     if not seeds:
         return out | {"note": "no node matches the query"}
     rows = focus_rows(graph, seeds, budget).orderBy("rank").withColumn("score", F.round("score", 5)).collect()
@@ -113,10 +114,10 @@ def impact_rows(graph: Graph, hit: DataFrame, budget: int = 1500) -> DataFrame:
     return within_budget(graph, scores.join(hit.select("id"), "id", "left_semi"), budget).join(hit, "id")
 
 
-def impact(graph: Graph, query: str = "", seed_ids: list[str] | None = None, budget: int = 1500, hops: int | None = None, direction: str = DEPENDENTS) -> dict[str, Any]:
+def impact(graph: Graph, query: str = "", seed_ids: list[str] | None = None, budget: int = 1500, direction: str = DEPENDENTS, hops: int | None = None) -> Answer:
     """The blast radius of a change. Seeds are the ids given, else those that match the query."""
     seeds = [s for s in dict.fromkeys(seed_ids) if g.has_node(graph, s)] if seed_ids is not None else resolve_seeds(graph, query, 10)
-    out: dict[str, Any] = {"query": query, "seeds": seeds[:10], "direction": direction, "hops": hops, "budget_tokens": budget, "used_tokens": 0, "total_affected": 0, "nodes": [], "edges": []}
+    out: Answer = dict(query=query, seeds=seeds[:10], direction=direction, hops=hops, budget_tokens=budget, used_tokens=0, total_affected=0, nodes=[], edges=[])
     if not seeds:
         return out | {"note": "no node matches the seed"}
     hit = affected(graph, seeds, direction, hops).persist()
@@ -130,13 +131,13 @@ def impact(graph: Graph, query: str = "", seed_ids: list[str] | None = None, bud
     return out | {"total_affected": total, "used_tokens": rows[-1]["used"], "nodes": _answer(rows, ["id", "kind", "cat", "size", "line", "deg", "dist", "score"]), "edges": _edges_of(graph, [r["id"] for r in rows])}
 
 
-def why(graph: Graph, a: str, b: str) -> dict[str, Any]:
+def why(graph: Graph, a: str, b: str, strategy: str = "auto") -> Answer:
     """How two nodes are connected: the shortest chain of typed edges between them."""
     ends = [resolve_one(graph, a), resolve_one(graph, b)]
-    out: dict[str, Any] = {"a": a, "b": b, "resolved": ends, "found": False, "length": 0, "path": []}
+    out: Answer = dict(a=a, b=b, resolved=ends, found=False, length=0, path=[])
     if None in ends:
         return out | {"note": "an endpoint matches no node"}
-    path = shortest_path(graph, *ends)
+    path = shortest_path(graph, *ends, strategy)
     if not path:
         return out | {"note": "nothing connects the endpoints"}
     rows = steps(graph, path).collect()
@@ -163,7 +164,7 @@ def tour_stops(graph: Graph, budget: int = 2000, max_stops: int = 40) -> DataFra
     return stops.join(facts, "id").select("step", "id", "layer", F.round("score", 5).alias("score"), "uses", "used_by", "used")
 
 
-def tour(graph: Graph, budget: int = 2000, max_stops: int = 40) -> dict[str, Any]:
+def tour(graph: Graph, budget: int = 2000, max_stops: int = 40) -> Answer:
     rows = tour_stops(graph, budget, max_stops).orderBy("step").collect()
     total = min(max_stops, graph.nodes.where("kind = 'file'").limit(max_stops).count())
     return {"project": graph.project, "stops": [{c: r[c] for c in ("step", "id", "layer", "score", "uses", "used_by")} for r in rows], "total_files": total, "used_tokens": rows[-1]["used"] if rows else 0, "budget_tokens": budget}

@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-import json
 import posixpath
 import re
+from json import loads
 from pathlib import Path
 
+Rules = list[tuple[str, str]]
+
 
 def relaxed_json(text: str) -> dict:
     """JSON with comments and trailing commas; {} if it is none, or no object."""
-    for pattern, by in ((r"(?s)/\*.*?\*/", ""), (r"(?m)//.*$", ""), (r",(?=\s*[\]}])", "")):
+    for pattern, by in ((r"(?s)/\*.*?\*/", ""), (r"//[^\n]*", ""), (r",(?=\s*[\]}])", "")):
         text = re.sub(pattern, by, text)
     try:
-        got = json.loads(text)
+        got = loads(text)
     except ValueError:
         return {}
     return got if isinstance(got, dict) else {}
 
 
-def alias_rules(config: dict, has_src: bool) -> list[tuple[str, str]]:
+def alias_rules(config: dict, has_src: bool) -> Rules:
     """(prefix, directory or file), longest prefix first. Projects with a src directory have @/ and ~/ for it unless they say otherwise."""
     options = config.get("compilerOptions")
     options = options if isinstance(options, dict) else {}
@@ -27,7 +29,7 @@ def alias_rules(config: dict, has_src: bool) -> list[tuple[str, str]]:
     base = base if isinstance(base, str) else "."
     rules: dict[str, str] = {}
     listed = options.get("paths")
-    out: list[tuple[str, str]] = []
+    out: Rules = []
     for name, targets in listed.items() if isinstance(listed, dict) else ():
         to = targets[0] if isinstance(targets, list) and targets else None
         if not isinstance(to, str):
@@ -43,11 +45,11 @@ def alias_rules(config: dict, has_src: bool) -> list[tuple[str, str]]:
     return sorted(out, key=lambda r: -len(r[0]))
 
 
-def load_aliases(root: str | Path) -> list[tuple[str, str]]:
+def load_aliases(root: str | Path) -> Rules:
     root = Path(root)
     config: dict = {}
     for name in ("tsconfig.json", "jsconfig.json"):
         f = root / name
         if not config and f.is_file():
-            config = relaxed_json(f.read_text(encoding="utf-8", errors="ignore"))
+            config = relaxed_json(f.read_text("utf-8", "ignore"))
     return alias_rules(config, (root / "src").is_dir())

@@ -25,14 +25,14 @@ DIGEST_TYPES = {f".{x}" for x in "adoc bash c cc cfg cjs conf cpp cs css go h hp
 CORPUS_SCHEMA = "path string, size bigint, mtime_ns bigint, text string, sig string"
 
 
-def _type(name: str) -> str:
-    return os.path.splitext(name)[1].lower()
+def _type(file: str) -> str:
+    return os.path.splitext(file)[-1].lower()
 
 
 def ignore_globs(root: str | Path) -> list[str]:
     """Patterns of the ignore file, one a line; lines that begin with # are comments."""
     f = Path(root) / IGNORE_FILE
-    lines = f.read_text(encoding="utf-8", errors="ignore").splitlines() if f.is_file() else []
+    lines = f.read_text("utf-8", "ignore").splitlines() if f.is_file() else []
     return [x for x in map(str.strip, lines) if x and x[0] != "#"]
 
 
@@ -48,7 +48,7 @@ def _skips_file(rel: str, globs: list[str]) -> bool:
 def git_files(root: str | Path) -> list[str] | None:
     """What git tracks or would show as new; None without git or a repository."""
     try:
-        got = subprocess.run(["git", "-C", os.fspath(root), "ls-files", "-z", "--cached", "--others", "--exclude-standard"], capture_output=True, timeout=30, check=True)
+        got = subprocess.run(["git", "-C", os.fspath(root), "ls-files", "-z", "--exclude-standard", "--others", "--cached"], capture_output=True, timeout=30, check=True)
     except (OSError, subprocess.SubprocessError):
         return None
     return [os.fsdecode(x) for x in got.stdout.split(b"\0") if x]
@@ -70,7 +70,7 @@ def list_files(root: str | Path) -> list[str]:
 
 def digest(raw: bytes) -> str:
     """Of the content with line ends made alike."""
-    return "c:" + hashlib.blake2b(raw.replace(b"\r\n", b"\n").replace(b"\r", b"\n"), digest_size=12).hexdigest()
+    return "c:" + hashlib.blake2b(re.sub(rb"\r\n?", b"\n", raw), digest_size=12).hexdigest()
 
 
 def read_corpus(spark: SparkSession, root: str | Path, paths: list[str] | None = None) -> DataFrame:
@@ -87,7 +87,8 @@ def read_corpus(spark: SparkSession, root: str | Path, paths: list[str] | None =
                 size = mtime = text = sig = None
                 try:
                     st = os.stat(os.path.join(base, rel))
-                    size, mtime, sig = st.st_size, st.st_mtime_ns, f"d:{st.st_size}-{st.st_mtime_ns}"
+                    size, mtime = st.st_size, st.st_mtime_ns
+                    sig = f"d:{size}-{mtime}"
                     kind = _type(rel)
                     hashed = kind in DIGEST_TYPES and size <= DIGEST_LIMIT
                     name = rel.rpartition("/")[2]

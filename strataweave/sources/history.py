@@ -24,7 +24,7 @@ def _git(root: str, *args: str) -> str:
 
 
 def git_log(root: str | os.PathLike, limit: int = COMMIT_LIMIT) -> str:
-    shape = "%x1e" + "%x1f".join(["%h", "%s", "%aI", "%an"])
+    shape = "%x1e%h%x1f%s%x1f%aI%x1f%an"
     return _git(os.fspath(root), "log", "--name-only", "--no-merges", f"-{max(1, limit)}", f"--pretty=format:{shape}")
 
 
@@ -48,6 +48,6 @@ def commits(spark: SparkSession, root: str | os.PathLike, limit: int = COMMIT_LI
     return log.select(F.inline(parsed_log(F.col("log"))))
 
 
-def changed_files(root: str | os.PathLike, base: str = "HEAD") -> list[str]:
+def changed_files(root: str | os.PathLike, since="HEAD") -> list[str]:
     """Paths whose working copy differs from a commit."""
-    return [x.strip() for x in _git(os.fspath(root), "diff", "--name-only", base).splitlines() if x.strip()]
+    return [x.strip() for x in _git(os.fspath(root), "diff", since, "--name-only").splitlines() if x.strip()]

@@ -26,7 +26,7 @@ def write_whole(path: Path, text: str) -> None:
     """Replaces a file in one step."""
     path.parent.mkdir(parents=True, exist_ok=True)
     handle, name = tempfile.mkstemp(dir=path.parent)
-    with os.fdopen(handle, "w", encoding="utf-8", newline="\n") as f:
+    with os.fdopen(handle, "w", newline="\n", encoding="utf-8") as f:
         f.write(text)
     os.replace(name, path)
 
@@ -44,7 +44,7 @@ def save(root: str, graph: Graph, manifest: DataFrame) -> str:
 
 def _current(root: str) -> dict | None:
     try:
-        got = json.loads((Path(root) / FOLDER / "current.json").read_text(encoding="utf-8"))
+        got = json.loads((Path(root) / FOLDER / "current.json").read_bytes())
     except (OSError, ValueError):
         return None
     return got if isinstance(got, dict) and isinstance(got.get("version"), str) else None

@@ -12,18 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.build import index
-from ..plans.gate import diff_manifest, manifest_of
+from ..plans.gate import Stale, diff_manifest, manifest_of, nothing_stale
 from ..sources import store
 from ..sources.files import read_corpus
 
 MIN_INTERVAL = 0.2
 
 
-def refresh_if_changed(spark: SparkSession, root: str) -> dict[str, list[str]]:
+def refresh_if_changed(spark: SparkSession, root: str) -> Stale:
     """What was added, removed or changed since the stored manifest; if anything was, the graph is built and stored anew. Without a stored one all is new."""
     new = manifest_of(read_corpus(spark, root))
     old = store.load_manifest(spark, root)
-    out: dict[str, list[str]] = {"added": [], "removed": [], "changed": []}
+    out = nothing_stale()
     for r in diff_manifest(spark.createDataFrame([], "path string, sig string") if old is None else old, new).orderBy("path").collect():
         out[r["change"]].append(r["path"])
     if old is None or any(out.values()):
