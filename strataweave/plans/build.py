@@ -267,7 +267,10 @@ def build_graph(corpus: DataFrame, project: str = "project", aliases: list[tuple
         edges = edges.union(session_edges(commits, nodes.select("id")))
     edges = edges_frame(edges).dropDuplicates(["src", "dst", "type"]).persist()
     found = graph_of(nodes, edges, project)
-    return Graph(nodes_frame(described(found.nodes, edges)), edges.select(*EDGE_COLUMNS), project)
+    out = Graph(nodes_frame(described(found.nodes, edges)), edges.select(*EDGE_COLUMNS), project).stored()
+    for made in (x.syntax, refs, edges):
+        made.unpersist()
+    return out
 
 
 def index(spark: SparkSession, root: str, project: str | None = None, sessions: bool = True) -> tuple[Graph, DataFrame]:
