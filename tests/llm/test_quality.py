@@ -62,3 +62,21 @@ def test_defined_cases(spark):
     kept = quality.only_accepted(docs, none)
     assert kept.dtypes == docs.dtypes and {r["doc_id"] for r in kept.collect()} == {1, None}
     assert quality.scored(docs.limit(0), quality.fitted(docs.limit(0), labels)).count() == 0
+
+
+def test_toxic_prose_is_rejected(spark):
+    data = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    model = quality.fitted(docs, labels.where("doc_id % 2 = 0"))
+    got = {r["doc_id"]: r["accepted"] for r in quality.scored(docs, model).collect()}
+    held = [(got[r["doc_id"]], r["toxic"]) for r in labels.where("doc_id % 2 = 1 and quality = 1").collect()]
+    assert np.mean([a for a, t in held if not t]) > 0.99 and np.mean([not a for a, t in held if t]) > 0.5
+
+
+def test_levels_of_words(spark):
+    rows = [(i, "plain words" + (" vile" if i % 2 else " kind") * (1 + i % 3)) for i in range(400)] + [(None, "VILE, words")]
+    levels = quality.word_levels(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), np.arange(0, 400, 2))
+    bucket, _ = quality.word_buckets(pa.array(["vile kind words new"]))
+    assert levels[bucket].tolist() == [3, quality.LEVELS, 0, 0]
+    x, _ = quality.describe(pa.array(["Vile words", None]), levels)
+    assert x[0, -1 - quality.LEVELS : -1] == pytest.approx([0, 0, 0.5**0.5, 0]) and not x[1, :-1].any()
