@@ -115,3 +115,17 @@ def test_substrings(spark):
         removed = text[r["start"] : r["end"]].lower()
         assert removed in passage and len(removed.split()) >= 60 - 2 * substring_dedup.REACH and r["kept_doc_id"] in (1, 3)
     assert substring_dedup.repeated_spans(frame(spark, [])).count() == 0
+
+
+def test_short_lines_and_ends_of_passages(spark):
+    rng = random.Random(6)
+    fresh = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(n))
+    line, passage = "Licensed under the Été License", fresh(70)
+    rows = [(1, fresh(20) + " " + passage + " " + fresh(9) + "\n" + line + "\n--\n" + fresh(3))]
+    rows += [(2, "é " + fresh(25) + " " + passage.upper() + ", " + fresh(20)), (3, fresh(4) + "\n  " + line.upper() + "!\n--\n" + fresh(2)), (4, passage), (5, "--")]
+    rows += [(6, fresh(12) + " " + passage + " " + fresh(12))] * 2
+    texts, first = dict(rows), rows[0][1]
+    got = [r for r in substring_dedup.repeated_spans(frame(spark, rows)).collect()]
+    assert sorted((r["doc_id"], texts[r["doc_id"]][r["start"] : r["end"]].lower()) for r in got if r["doc_id"] < 6) == [(2, passage), (3, line.lower()), (4, passage)]
+    assert all(first[r["kept_start"] :].lower().startswith(texts[r["doc_id"]][r["start"] : r["end"]].lower()) and r["kept_doc_id"] == 1 for r in got if r["doc_id"] < 6)
+    assert any(passage in texts[6][r["start"] : r["end"]] for r in got if r["doc_id"] == 6)
