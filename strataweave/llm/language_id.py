@@ -11,8 +11,8 @@ Rejection is calibrated on all documents whose label and result agree, for each
 four characters): a document is rejected if its cross-entropy is above both the TAIL quantile and the median plus SPREAD
 times the distance from the median to the upper quartile.
 
-A model is limited to MOST_GRAMS grams a language: above that, the highest order drops its rarest grams, by the smallest
-count that suffices, before anything is estimated.
+No gram is dropped: a model grows with the different grams of its language, at 12 bytes for each gram and each context of
+the orders. The models are collected by the driver, one language after the other, and broadcast.
 
 Defined cases: a null or empty text and one of white space has a null language and cross-entropy and is rejected;
 labels that are null train nothing, and without labels everything is rejected. Ties go to the first language by
@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from .text import NOT_SPACE, U64, mix, pieces, ready, signed, spans, strings
 
 ORDER = 5
-MOST_GRAMS = 2_000_000
 TAIL, SPREAD = 0.999, 6.0
 START, END = U64(2), U64(3)
 
@@ -116,17 +115,10 @@ def gram_counts(docs: DataFrame, order: int) -> DataFrame:
     return found.groupBy("lang", *names).agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, order: int = ORDER, most: int = MOST_GRAMS) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]]:
+def train(docs: DataFrame, order: int = ORDER) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]]:
     """For each lang: hashes of grams and their log probabilities, hashes of contexts and their log back-off weights, log probability of an unknown character."""
     ready(docs.sparkSession)
     table = gram_counts(docs, order).checkpoint()
-    spread = table.groupBy("lang", F.least("n", F.lit(1000)).alias("n")).count().collect()
-    least = {}
-    for lang in {r["lang"] for r in spread}:
-        have = {r["n"]: r["count"] for r in spread if r["lang"] == lang}
-        least[lang] = next((c for c in range(1, 1001) if sum(v for k, v in have.items() if k >= c) <= most), 1000)
-    if any(c > 1 for c in least.values()):
-        table = table.where(F.col("n") >= F.create_map(*[F.lit(x) for kv in least.items() for x in kv])[F.col("lang")])
     level = {order: table}
     for k in range(order - 1, 0, -1):
         level[k] = level[k + 1].groupBy("lang", *[f"g{i}" for i in range(k, 0, -1)], *[f"c{i}" for i in range(k, 0, -1)]).agg(F.count(F.lit(1)).alias("n"))
@@ -148,14 +140,14 @@ def train(docs: DataFrame, order: int = ORDER, most: int = MOST_GRAMS) -> dict[s
         grams.append(lower.select("lang", F.col(f"g{k}").alias("h"), F.log("p").alias("x")))
         contexts.append(context.select("lang", F.col(f"c{k}").alias("h"), F.log("weight").alias("x")))
     out = {}
-    both = [rows.toArrow() for rows in (_union(grams), _union(contexts))]
+    both = [_union(grams), _union(contexts).checkpoint()]
     for lang in sorted(floor):
         arrays = []
-        for t in both:
-            t = t.filter(pc.equal(t["lang"], lang))
+        for rows in both:
+            t = rows.where(F.col("lang") == lang).select("h", F.col("x").cast("float")).toArrow()
             h, x = t["h"].to_numpy().view(U64), t["x"].to_numpy()
             at = np.argsort(h)
-            arrays += [h[at], x[at].astype(np.float32)]
+            arrays += [h[at], x[at]]
         out[lang] = (*arrays, math.log(floor[lang]))
     return out
 
@@ -226,11 +218,11 @@ def scores(docs: DataFrame, models: dict, order: int = ORDER) -> DataFrame:
     return docs.mapInArrow(score, "doc_id long, lang string, language string, bits double, margin double, chars long")
 
 
-def identified(docs: DataFrame, order: int = ORDER, most: int = MOST_GRAMS, tail: float = TAIL, spread: float = SPREAD, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", models: dict | None = None) -> DataFrame:
+def identified(docs: DataFrame, order: int = ORDER, tail: float = TAIL, spread: float = SPREAD, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", models: dict | None = None) -> DataFrame:
     """doc_id, language, bits a character, margin to the second language, and accepted. Without models, they are trained on the labels of the table."""
     ready(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    found = scores(docs, train(docs, order, most) if models is None else models, order).withColumn("size", F.floor(F.log(4.0, F.greatest("chars", F.lit(1)))))
+    found = scores(docs, train(docs, order) if models is None else models, order).withColumn("size", F.floor(F.log(4.0, F.greatest("chars", F.lit(1)))))
     found = found.checkpoint()
     right = found.where("lang = language").groupBy("language", "size").agg(F.percentile_approx("bits", F.array(F.lit(0.5), F.lit(0.75), F.lit(tail)), 10000).alias("q"))
     limit = right.select("language", "size", F.greatest(F.col("q")[2], F.col("q")[0] + spread * (F.col("q")[1] - F.col("q")[0])).alias("limit"))

@@ -130,3 +130,12 @@ def test_languages(spark):
     rows = language_id.identified(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert np.mean([r["language"] == r["lang"] for r in rows]) > 0.98 and np.mean([r["accepted"] for r in rows]) > 0.97
     assert language_id.identified(docs.limit(0)).count() == 0
+
+
+def test_language_models_keep_every_gram(spark):
+    rng = np.random.default_rng(4)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 40_000))) for _ in range(54)]
+    models = language_id.train(spark.createDataFrame([(k, t, "zh") for k, t in enumerate(texts)], "doc_id long, text string, lang string"), 2)
+    points = [np.r_[2, np.array([ord(c) for c in t]) + 4, 3] for t in texts]
+    pairs = np.unique(np.concatenate([p[:-1] << 20 | p[1:] for p in points]))
+    assert len(pairs) > 2_000_000 and len(models["zh"][0]) == len(pairs) + len(np.unique(pairs & (1 << 20) - 1))
