@@ -25,7 +25,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents connected by similar pairs, that with the smallest doc_id stays."""
-    return ngram_join.without_copies(docs, ngram_join.similar_pairs(docs))
+    return ngram_join.without_copies(docs, ngram_join.classes(docs))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

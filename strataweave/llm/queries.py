@@ -41,7 +41,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_pairs(table(spark, sf_dir, "documents"))
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ SELECT DISTINCT doc_id, line::INTEGER AS line, kept[1] AS kept_doc_id, kept[2]::
 """
 
 NGRAM_JACCARD = f"""
-WITH words AS (SELECT DISTINCT doc_id, {WORDS.format("text")} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE words AS (SELECT DISTINCT doc_id, {WORDS.format("text")} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 docs AS (
   SELECT doc_id, CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)])) END AS grams
   FROM words WHERE len(w) > 0),
@@ -33,9 +33,17 @@ item AS (SELECT s, n, unnest(grams) AS g FROM sets),
 rare AS (SELECT g, count(*) AS c FROM item GROUP BY g),
 prefix AS (SELECT s, n, g FROM (SELECT item.s, item.n, item.g, row_number() OVER (PARTITION BY s ORDER BY c, g) AS k FROM item JOIN rare USING (g)) WHERE k <= n - ceil(0.7 * n - 1e-9) + 1),
 cand AS (SELECT DISTINCT a.s AS sa, b.s AS sb FROM prefix a JOIN prefix b ON a.g = b.g AND a.s < b.s AND a.n >= 0.7 * b.n - 1e-9 AND b.n >= 0.7 * a.n - 1e-9),
-near AS (SELECT a.rep AS ra, b.rep AS rb, len(list_intersect(a.grams, b.grams)) AS shared, a.n + b.n AS n FROM cand JOIN sets a ON a.s = sa JOIN sets b ON b.s = sb),
-pairs AS (
-  SELECT rep AS doc_a, doc_id AS doc_b, 1.0::DOUBLE AS jaccard FROM docs JOIN sets USING (grams) WHERE doc_id > rep
-  UNION ALL SELECT least(ra, rb), greatest(ra, rb), (shared / (n - shared))::DOUBLE FROM near WHERE shared / (n - shared) >= 0.7 - 1e-9 AND ra <> rb)
-SELECT doc_a, doc_b, max(jaccard) AS jaccard FROM pairs GROUP BY doc_a, doc_b
+near AS (
+  SELECT sa, sb, a.rep AS ra, b.rep AS rb
+  FROM cand JOIN sets a ON a.s = sa JOIN sets b ON b.s = sb
+  WHERE len(list_intersect(a.grams, b.grams)) / (a.n + b.n - len(list_intersect(a.grams, b.grams))) >= 0.7 - 1e-9),
+linked AS (SELECT s, count(*) AS links FROM (SELECT sa AS s FROM near UNION ALL SELECT sb FROM near) GROUP BY s),
+held AS (SELECT DISTINCT doc_id, s, rep FROM docs JOIN sets USING (grams)),
+counted AS (SELECT s, count(*) - 1 AS copies FROM held GROUP BY s),
+edge AS (SELECT ra AS a, rb AS b FROM near UNION SELECT rb, ra FROM near UNION SELECT rep, doc_id FROM held UNION SELECT doc_id, rep FROM held),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM held UNION SELECT reach.a, edge.b FROM reach JOIN edge ON edge.a = reach.b),
+class AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a),
+total AS (SELECT doc_id, sum(copies) AS copies, sum(coalesce(links, 0)) AS links FROM held JOIN counted USING (s) LEFT JOIN linked USING (s) GROUP BY doc_id)
+SELECT DISTINCT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(copies, 0)::BIGINT AS copies, coalesce(links, 0)::BIGINT AS links
+FROM documents d LEFT JOIN class USING (doc_id) LEFT JOIN total USING (doc_id) WHERE d.doc_id IS NOT NULL
 """

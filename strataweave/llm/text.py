@@ -11,8 +11,9 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, NullType, ShortType
 
 PIECE_BYTES = 2_000_000
 U64 = np.uint64
@@ -151,13 +152,41 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Makes sure that checkpoint() has a folder: that of the cluster, or, where none is named (tests), one of our own."""
+    """Makes sure that checkpoint() has a folder: that of the cluster or, in local mode (tests) alone, one of our own."""
     sc = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return spark
 
 
+def integer_id(docs: DataFrame, id_col: str) -> Column:
+    """The id column as a long. Ids of another type are refused, as they can't be ranked or packed: map them to integers first."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, (ByteType, ShortType, IntegerType, LongType, NullType)):
+        raise TypeError(f"{id_col} must be a column of integers, not of {kind.simpleString()}")
+    return quoted(id_col).cast("long")
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def documents(docs: DataFrame, id_col: str, text_col: str, **more: str) -> DataFrame:
+    """doc_id (long), text and the other columns asked for, by their new names."""
+    return docs.select(integer_id(docs, id_col).alias("doc_id"), quoted(text_col).alias("text"), *[quoted(c).alias(n) for n, c in more.items()])
+
+
+def free(docs: DataFrame, name: str) -> str:
+    """The name, made longer until the table has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def counts_sketch(docs: DataFrame, text: str, keys, bits: int) -> np.ndarray:
     """How often each of 2**bits buckets of hashed keys occurs in the whole table.
 

@@ -24,8 +24,7 @@ def test_stages(spark, tmp_path):
             want = {r["doc_id"]: "\n".join(x for j, x in enumerate(r["text"].split("\n")) if (r["doc_id"], j) not in lost) for r in before.collect()}
             assert {r["doc_id"]: r["text"] for r in docs.collect()} == {i: t for i, t in want.items() if t.strip()}
         elif name == "ngram_jaccard_join":
-            groups = ngram_join.group_of(ngram_join.similar_pairs(before)).collect()
-            assert now == kept - {r["doc_id"] for r in groups if r["group"] != r["doc_id"]}
+            assert now == {r["doc_id"] for r in ngram_join.classes(before).collect() if r["class_id"] == r["doc_id"]}
         elif name == "benchmark_decontamination":
             assert now == kept - {r["doc_id"] for r in decontamination.leaks(before, spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()}
         else:

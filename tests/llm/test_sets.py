@@ -74,33 +74,67 @@ def grams(text):
     return frozenset(zip(w, w[1:], w[2:])) if len(w) > 2 else frozenset([tuple(w)]) if w else frozenset()
 
 
-@pytest.mark.parametrize(("threshold", "block"), [(0.7, 4000), (0.4, 4000), (0.7, 2)])
-def test_ngram_pairs(spark, threshold, block):
-    rows = made(2)
+def brute_sets(rows, threshold):
+    """(ids by set, similar pairs of different sets with their jaccard)."""
     by_set = {}
     for i, t in rows:
         if i is not None and t is not None and grams(t):
             by_set.setdefault(grams(t), set()).add(i)
+    near = {}
+    for a, b in itertools.combinations(by_set, 2):
+        j = len(a & b) / len(a | b)
+        if j >= threshold - 1e-9:
+            near[a, b] = j
+    return by_set, near
+
+
+WAYS = [(0.7, 4000, 4_000_000), (0.4, 4000, 4_000_000), (0.7, 2, 4_000_000), (0.7, 4000, 90)]
+
+
+@pytest.mark.parametrize(("threshold", "block", "block_grams"), WAYS)
+def test_ngram_pairs(spark, threshold, block, block_grams):
+    rows = made(2)
+    by_set, near = brute_sets(rows, threshold)
     want = {}
     for ids in by_set.values():
         want |= {(min(ids), i): 1.0 for i in ids if i > min(ids)}
-    for a, b in itertools.combinations(by_set, 2):
-        j = len(a & b) / len(a | b)
+    for (a, b), j in near.items():
         x, y = sorted((min(by_set[a]), min(by_set[b])))
-        if j >= threshold - 1e-9 and x != y:
+        if x != y:
             want[x, y] = max(j, want.get((x, y), 0))
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in ngram_join.similar_pairs(frame(spark, rows), threshold, block=block).collect()}
+    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in ngram_join.similar_pairs(frame(spark, rows), threshold, block=block, block_grams=block_grams).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+@pytest.mark.parametrize(("threshold", "block", "block_grams"), WAYS)
+def test_ngram_classes(spark, threshold, block, block_grams):
+    rows = made(3) + [(200, "one two"), (201, "Two words, three"), (201, "quite another text of one id"), (202, "Quite another text of one id!"), (203, "two words three")]
+    by_set, near = brute_sets(rows, threshold)
+    label = {i: i for i, _ in rows if i is not None}
+    groups = [list(ids) for ids in by_set.values()] + [[*by_set[a], *by_set[b]] for a, b in near]
+    while any(len({label[i] for i in g}) > 1 for g in groups):
+        for g in groups:
+            low = min(label[i] for i in g)
+            label |= {i: low for i in g}
+    links = {s: sum(s in pair for pair in near) for s in by_set}
+    want = {(i, label[i], sum(len(ids) - 1 for ids in by_set.values() if i in ids), sum(links[s] for s, ids in by_set.items() if i in ids)) for i in label}
+    assert {tuple(r) for r in ngram_join.classes(frame(spark, rows), threshold, block=block, block_grams=block_grams).collect()} == want
+
+
 def test_groups_and_copies(spark):
     pairs = spark.createDataFrame([(5, 6, 1.0), (6, 9, 1.0), (1, 2, 1.0), (2, 3, 1.0), (3, 4, 1.0)], "doc_a long, doc_b long, jaccard double")
-    assert {tuple(r) for r in ngram_join.group_of(pairs).collect()} == {(5, 5), (6, 5), (9, 5), (1, 1), (2, 1), (3, 1), (4, 1)}
-    docs = frame(spark, [(k, "x") for k in range(1, 11)] + [(None, "x")])
-    left = ngram_join.without_copies(docs, pairs)
+    groups = ngram_join.group_of(pairs)
+    assert {tuple(r) for r in groups.collect()} == {(5, 5), (6, 5), (9, 5), (1, 1), (2, 1), (3, 1), (4, 1)}
+    docs = spark.createDataFrame([(k, "x", k) for k in range(1, 11)] + [(None, "x", 3)], "doc_id long, text string, gone int")
+    left = ngram_join.without_copies(docs, groups.withColumnRenamed("group", "class_id"))
     assert {r["doc_id"] for r in left.collect()} == {1, 5, 7, 8, 10, None} and left.dtypes == docs.dtypes
     none = frame(spark, [])
-    assert ngram_join.without_copies(none, ngram_join.similar_pairs(none)).count() == 0
+    assert ngram_join.without_copies(none, ngram_join.classes(none)).count() == 0
+
+
+def test_ids_are_integers(spark):
+    with pytest.raises(TypeError, match="integers"):
+        ngram_join.classes(spark.createDataFrame([("a1", "x")], "doc_id string, text string"))
 
 
 def test_substrings(spark):
