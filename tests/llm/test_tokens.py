@@ -113,29 +113,80 @@ def test_fingerprints_estimate_similarity(spark):
     assert odd == {(1, 64), (2, 0), (3, 0), (None, 64), (4, 0), (5, 64), (6, 64)}
 
 
-def test_language_probabilities_sum_to_one(spark):
-    docs = spark.createDataFrame([(1, "abab abba", "x"), (2, "cdcd dcdc", "y"), (3, None, "x"), (4, "ab", None)], "doc_id long, text string, lang string")
-    models = language_id.train(docs, 3)
-    import pyarrow as pa
-
-    for text in ("a", "ab", "b"):
-        base, _ = language_id.word_grams(pa.array([text]), 3)
-        assert np.isfinite(language_id.log_probabilities(base, models["x"], 3)).all()
-    found = {r["doc_id"]: r["language"] for r in language_id.identified(docs, 3).collect()}
-    assert found == {1: "x", 2: "y", 3: None, 4: "x"}
+class Brute:
+    """An interpolated Kneser-Ney model, straight from its definition."""
+
+    def __init__(self, texts, order):
+        self.order, self.count = order, [Counter() for _ in range(order + 1)]
+        for word in " ".join(texts).lower().split():
+            line = "^" * (order - 1) + word + "$"
+            self.count[order].update(line[i - order + 1 : i + 1] for i in range(order - 1, len(line)))
+        for k in range(order - 1, 0, -1):
+            self.count[k] = Counter(g[1:] for g in self.count[k + 1])
+        self.letters = sorted(self.count[1])
+
+    def p(self, gram):
+        k = len(gram)
+        if not k:
+            return 1 / (len(self.letters) + 1)
+        one, two = (sum(n == v for n in self.count[k].values()) for v in (1, 2))
+        d = one / (one + 2 * two) if one and two else 0.5
+        seen = [n for g, n in self.count[k].items() if g[:-1] == gram[:-1]]
+        if not seen:
+            return self.p(gram[1:])
+        return (max(self.count[k][gram] - d, 0) + d * len(seen) * self.p(gram[1:])) / sum(seen)
+
+    def bits(self, text):
+        lines = ["^" * (self.order - 1) + w + "$" for w in text.lower().split()]
+        logs = [np.log2(self.p(x[i - self.order + 1 : i + 1])) for x in lines for i in range(self.order - 1, len(x))]
+        return -sum(logs) / len(logs)
+
+
+@pytest.mark.parametrize("arrays_bytes", [48_000_000, 400, 0])
+def test_language_models_against_brute_force(spark, arrays_bytes):
+    rng = random.Random(8)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randint(1, 6)))
+    rows = [(k, " ".join(word(letters) for _ in range(12)), lang) for k in range(40) for lang, letters in (("x", "abcé"), ("y", "ABdß"))]
+    rows += [(90, "Zz abqd a", None), (91, None, "x"), (92, " \n", "y"), (None, "abba", "x"), (93, "w" * 40_000, None), (3, rows[0][1], "x")]
+    docs = spark.createDataFrame([(*r, 1.0, 2) for r in rows], "doc_id long, text string, lang string, bits double, n int")
+    held = {r["text"] for r in docs.selectExpr("text", "pmod(xxhash64(text), 10) = 9 as held").where("held").collect()}
+    brute = {lang: Brute([t for _, t, x in rows if x == lang and t is not None and t not in held], 3) for lang in "xy"}
+    for model in brute.values():
+        for context in ("", "a", "^a", "ab", "q", "zz"):
+            assert sum(model.p(context + c) for c in [*model.letters, "☃"]) == pytest.approx(1)
+    got = language_id.identified(docs, 3, arrays_bytes=arrays_bytes).collect()
+    assert len(got) == len(rows) and sum(r["doc_id"] is None for r in got) == 1
+    text = {(i, t) for i, t, _ in rows}
+    for r in got:
+        mine = [{x: brute[x].bits(t) for x in "xy"} for i, t in text if i == r["doc_id"] and t and t.strip()]
+        if not mine:
+            assert r["language"] is None and r["bits"] is None and not r["accepted"]
+        else:
+            assert any(r["language"] == min(b, key=b.get) and r["bits"] == pytest.approx(min(b.values()), abs=1e-5) and r["margin"] == pytest.approx(max(b.values()) - min(b.values()), abs=1e-5) for b in mine)
 
 
-def test_languages(spark):
+def test_languages_that_were_not_trained_on(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = language_id.identified(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
-    assert np.mean([r["language"] == r["lang"] for r in rows]) > 0.98 and np.mean([r["accepted"] for r in rows]) > 0.97
+    junk = spark.createDataFrame([(10**6 + k, "".join(random.Random(k).choices("0123456789abcdef#%&", k=900)), None) for k in range(30)], "doc_id long, text string, lang string")
+    table = docs.selectExpr("doc_id", "text", "if(doc_id % 5 = 0, null, lang) as lang").union(junk)
+    good = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").select("doc_id", "quality")
+    rows = language_id.identified(table).join(docs.select("doc_id", "lang"), "doc_id", "left").join(good, "doc_id", "left").collect()
+    fresh = [r for r in rows if r["doc_id"] % 5 == 0 and r["doc_id"] < 10**6]
+    assert np.mean([r["language"] == r["lang"] for r in fresh]) > 0.98 and np.mean([r["accepted"] for r in fresh]) > 0.9
+    assert np.mean([r["accepted"] for r in fresh if r["quality"]]) > 0.97
+    assert not any(r["accepted"] for r in rows if r["doc_id"] >= 10**6)
+
+
+def test_no_languages(spark):
+    docs = spark.createDataFrame([(1, "a b", None), (2, None, None)], "doc_id long, text string, lang string")
+    assert {tuple(r) for r in language_id.identified(docs).collect()} == {(1, None, None, None, False), (2, None, None, None, False)}
     assert language_id.identified(docs.limit(0)).count() == 0
 
 
 def test_language_models_keep_every_gram(spark):
     rng = np.random.default_rng(4)
     texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 40_000))) for _ in range(54)]
-    models = language_id.train(spark.createDataFrame([(k, t, "zh") for k, t in enumerate(texts)], "doc_id long, text string, lang string"), 2)
+    model = language_id.train(spark.createDataFrame([(t, "zh") for t in texts], "text string, lang string"), ["zh"], 2)
     points = [np.r_[2, np.array([ord(c) for c in t]) + 4, 3] for t in texts]
     pairs = np.unique(np.concatenate([p[:-1] << 20 | p[1:] for p in points]))
-    assert len(pairs) > 2_000_000 and len(models["zh"][0]) == len(pairs) + len(np.unique(pairs & (1 << 20) - 1))
+    assert model.count() == len(pairs) > 2_000_000
