@@ -10,11 +10,12 @@ Jaccard similarity of shingles, counted with repetition, which must reach THRESH
 
 Only windows that can pass are fingerprinted: one whose shingles known from items weigh too little for the threshold
 with any item of its size is left out, which never loses a result. The index of the items is a broadcast of bounded
-size: a benchmark of more than SLICE_ITEMS items takes a pass over the documents for each slice of it.
+size: a benchmark of more than SLICE_ITEMS items, or SLICE_SHINGLES shingles in all, takes a pass over the documents for
+each slice of it. Items of fewer than SHINGLE words have no shingle; they are searched as phrases, word for word.
 
-Defined cases: a row whose doc_id or text is null, and a text of fewer than SHINGLE words, has no leak. Items with
-null id or text, and items of fewer than LEAST_WORDS words, which are no evidence, match nothing; repeated items count
-once. Several rows of an id are searched each and give one result for each item, that of the greatest similarity, then
+Defined cases: a row whose doc_id or text is null, and a text without words, has no leak. Items with null id or text and
+items without words match nothing; an item of one or two words matches wherever it stands (leave such items out of the
+benchmark if they are no evidence); repeated items count once. Several rows of an id are searched each and give one result for each item, that of the greatest similarity, then
 of the least offset, which also breaks ties within a text. Without documents or items the result is empty. Extra
 columns are left alone.
 """
@@ -30,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import U64, WORD, char_index, hashes, mix, owners, pieces, ready, spans, strings
+from .text import U64, WORD, char_index, documents, filtered, hashes, integer_id, mix, owners, pieces, quoted, ready, spans, strings
 
 SHINGLE = 3
 THRESHOLD = 0.6
 RADIUS = 19
 BLOCKS = 5
-LEAST_WORDS = 5
 SLICE_ITEMS = 4000
+SLICE_SHINGLES = 1_000_000
 SCALE = 16
 
 
@@ -209,6 +210,26 @@ def leaks_in(column: pa.Array, index: Index, n: int, threshold: float):
     return doc, item, char[starts[first[window]]] - base, char[ends[last[window] + n - 2]] - base, score, np.bitwise_count(prints[window] ^ index.print[item]).astype(np.int64)
 
 
+def phrases_in(column: pa.Array, phrases: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """(text, item, first character, end, 1, 0) of the first place of each phrase in each text; phrases has sorted hashes and items by number of words."""
+    buf, off = strings(column, lower=True)
+    starts, ends, before = spans(buf, off, WORD)
+    words, own, char = hashes(buf, starts, ends), owners(before), char_index(buf)
+    out = []
+    for m, (known, item) in phrases.items():
+        gram = runs(words, m)
+        low, high = np.searchsorted(known, gram), np.searchsorted(known, gram, "right")
+        at = np.flatnonzero((high > low) & (own[: len(gram)] == own[m - 1 : m - 1 + len(gram)]))
+        count = (high - low)[at]
+        place = np.repeat(at, count)
+        which = item[np.arange(len(place)) + np.repeat(low[at] - (np.cumsum(count) - count), count)]
+        _, first = np.unique(np.stack([own[place], which]), axis=1, return_index=True) if len(place) else (None, np.zeros(0, np.int64))
+        place, which = place[first], which[first]
+        base = char[off[:-1]][own[place]]
+        out.append((own[place], which, char[starts[place]] - base, char[ends[place + m - 1]] - base, np.ones(len(place)), np.zeros(len(place), np.int64)))
+    return out
+
+
 def similarities(index: Index, place, total, first, last, window, item) -> np.ndarray:
     """Weighted Jaccard similarity of each window with its item."""
     size = (last - first)[window]
@@ -233,29 +254,45 @@ def _kept(key, make):
     return kept[key]
 
 
-def slices(benchmark: DataFrame, n: int, slice_items: int, least_words: int, id_col: str, text_col: str):
-    """What an Index is made of, and the item ids, for each slice of the benchmark."""
-    items = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).distinct()
+def slices(benchmark: DataFrame, n: int, slice_items: int, slice_shingles: int, id_col: str, text_col: str):
+    """The item ids, what an Index is made of (None without items of n words) and the short items as phrases, for each slice of the benchmark."""
+    items = benchmark.select(integer_id(benchmark, id_col).alias("item_id"), quoted(text_col).alias("text")).where("item_id is not null and text is not null").distinct()
 
     def cut(batches):
         for batch in batches:
             for piece in pieces(batch, "text"):
-                _, _, _, before, gram, inside, own, _ = shingle_words(piece["text"], n)
+                _, starts, ends, before, gram, inside, own, buf = shingle_words(piece["text"], n)
                 gram, own = gram[inside], own[: len(gram)][inside]
+                words, all_words = np.diff(before), hashes(buf, starts, ends)
+                for m in range(1, n):
+                    short = np.flatnonzero(words == m)
+                    gram, own = np.append(gram, runs(all_words, m)[before[short]]), np.append(own, short)
+                order = np.argsort(own, kind="stable")
+                gram, own = gram[order], own[order]
                 rows = np.searchsorted(own, np.arange(piece.num_rows + 1))
-                ok = np.flatnonzero(np.diff(before) >= least_words)
+                ok = np.flatnonzero(words > 0)
                 grams = pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(gram.view(np.int64)))
-                yield pa.record_batch({"item_id": piece["item_id"].take(pa.array(ok)), "words": pa.array(np.diff(before)[ok]), "grams": grams.take(pa.array(ok))})
+                yield pa.record_batch({"item_id": piece["item_id"].take(pa.array(ok)), "words": pa.array(words[ok]), "grams": grams.take(pa.array(ok))})
 
     items = items.mapInArrow(cut, "item_id long, words long, grams array<long>").checkpoint()
-    number = items.count()
-    parts = -(-number // slice_items)
+    long = items.where(F.col("words") >= n)
+    number = long.count()
+    every = items.agg(F.count(F.lit(1)).alias("items"), F.sum(F.size("grams")).alias("shingles")).first()
+    parts = max(-(-every["items"] // slice_items), -(-(every["shingles"] or 0) // slice_shingles))
     for k in range(parts):
         mine = items.where(F.pmod(F.xxhash64("item_id", "grams"), F.lit(parts)) == k)
-        rows = sorted(((r.item_id, r.words, list(r.grams)) for r in mine.collect()), key=lambda r: (r[0], r[2]))
+        rows = sorted(((r.item_id, r.words, list(r.grams)) for r in mine.collect()), key=lambda r: (r[1] < n, r[0], r[2]))
+        phrases, ids = {}, np.array([r[0] for r in rows])
+        for m in range(1, n):
+            some = sorted((r[2][0] % (1 << 64), k) for k, r in enumerate(rows) if r[1] == m)
+            if some:
+                phrases[m] = np.array([h for h, _ in some], np.uint64), np.array([k for _, k in some], np.int64)
+        rows = [r for r in rows if r[1] >= n]
         if not rows:
+            if phrases:
+                yield ids, None, phrases
             continue
-        grams = items.select(F.explode(F.array_distinct("grams")).alias("g"))
+        grams = long.select(F.explode(F.array_distinct("grams")).alias("g"))
         grams = grams.groupBy("g").count()
         if parts > 1:
             grams = grams.join(mine.select(F.explode("grams").alias("g")).distinct(), "g", "left_semi")
@@ -265,29 +302,31 @@ def slices(benchmark: DataFrame, n: int, slice_items: int, least_words: int, id_
         weight = weights(frequency["count"].to_numpy()[order], number)
         before = np.append(0, np.cumsum([len(r[2]) for r in rows]))
         flat = np.concatenate([np.array(r[2], np.int64) for r in rows]).view(np.uint64)
-        yield np.array([r[0] for r in rows]), (np.array([r[1] for r in rows], np.int64), flat, before, known[order], weight, int(weights(np.ones(1), number)[0]))
+        yield ids, (np.array([r[1] for r in rows], np.int64), flat, before, known[order], weight, int(weights(np.ones(1), number)[0])), phrases
 
 
-def _searcher(spark, ids, made_of, n, threshold, radius, blocks):
-    shared, name = spark.sparkContext.broadcast((ids, made_of)), uuid.uuid4().hex
+def _searcher(spark, part, n, threshold, radius, blocks):
+    shared, name = spark.sparkContext.broadcast(part), uuid.uuid4().hex
 
     def search(column: pa.Array):
-        ids, made_of = shared.value
-        index = _kept(name, lambda: Index(*made_of, radius, blocks))
-        doc, item, first, end, score, distance = leaks_in(column, index, n, threshold)
+        ids, made_of, phrases = shared.value
+        found = phrases_in(column, phrases) if phrases else []
+        if made_of is not None:
+            found.append(leaks_in(column, _kept(name, lambda: Index(*made_of, radius, blocks)), n, threshold))
+        doc, item, first, end, score, distance = (np.concatenate(c) for c in zip(*found))
         return doc, ids[item], first, end, score, distance
 
     return search
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, blocks: int = BLOCKS, n: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slice_items: int = SLICE_ITEMS, least_words: int = LEAST_WORDS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, blocks: int = BLOCKS, n: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slice_items: int = SLICE_ITEMS, slice_shingles: int = SLICE_SHINGLES) -> DataFrame:
     """doc_id, item_id, start and end (characters of the text) of the most similar window, its similarity and the distance of the fingerprints."""
     spark = ready(docs.sparkSession)
-    docs = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = documents(docs, id_col, text_col).where("doc_id is not null and text is not null")
     schema = "doc_id long, item_id long, start int, end int, similarity double, distance int"
     out = spark.createDataFrame([], schema)
-    for ids, made_of in slices(benchmark, n, slice_items, least_words, item_col, item_text_col):
-        search = _searcher(spark, ids, made_of, n, threshold, radius, blocks)
+    for part in slices(benchmark, n, slice_items, slice_shingles, item_col, item_text_col):
+        search = _searcher(spark, part, n, threshold, radius, blocks)
 
         def found(batches, search=search):
             for batch in batches:
@@ -301,19 +340,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, r
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.start", "b.end", (-F.col("b.s")).alias("similarity"), "b.distance")
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, blocks: int = BLOCKS, n: int = SHINGLE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slice_items: int = SLICE_ITEMS, least_words: int = LEAST_WORDS) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, blocks: int = BLOCKS, n: int = SHINGLE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slice_items: int = SLICE_ITEMS, slice_shingles: int = SLICE_SHINGLES) -> DataFrame:
     """The documents without those that hold a leak, in all their columns; rows are judged one by one, so nothing is shuffled."""
-    spark, out, place = ready(docs.sparkSession), docs, docs.columns.index(text_col)
-    for ids, made_of in slices(benchmark, n, slice_items, least_words, item_col, item_text_col):
-        search = _searcher(spark, ids, made_of, n, threshold, radius, blocks)
+    spark, out = ready(docs.sparkSession), docs
+    for part in slices(benchmark, n, slice_items, slice_shingles, item_col, item_text_col):
+        search = _searcher(spark, part, n, threshold, radius, blocks)
 
-        def keep(batches, search=search):
-            for batch in batches:
-                names = [f"c{k}" for k in range(batch.num_columns)]
-                for piece in pieces(pa.RecordBatch.from_arrays(batch.columns, names=names), f"c{place}"):
-                    ok = np.ones(piece.num_rows, bool)
-                    ok[search(piece[f"c{place}"])[0]] = False
-                    yield pa.RecordBatch.from_arrays(piece.filter(pa.array(ok)).columns, names=batch.schema.names)
+        def clean(column, search=search):
+            ok = np.ones(len(column), bool)
+            ok[search(column)[0]] = False
+            return ok
 
-        out = out.mapInArrow(keep, docs.schema)
+        out = filtered(out, text_col, clean)
     return out

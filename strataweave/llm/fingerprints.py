@@ -4,7 +4,8 @@ A document is its words (letters, digits and underlines in lower case) weighted
 each of SAMPLES independent samples, each word draws r and c from Gamma(2, 1) and b from [0, 1), all from hashes of the
 word, so alike in every document; with weight w, t = floor(ln w / r + b), ln y = r (t - b), and the word with the least
 ln a = ln c - ln y - r is sampled. The signature holds a 32-bit hash of (word, t) for each sample. Two documents agree
-in a sample with the probability sum(min w) / sum(max w), their generalised Jaccard similarity.
+in a sample with the probability sum(min w) / sum(max w), their generalised Jaccard similarity. The gamma draws are the
+middles of STEPS equal parts of probability, which moves that probability by less than one part in a thousand.
 
 Defined cases: a row with a null id keeps its null id. A null or empty text, or one without words, gets an empty
 signature. Rows are taken one by one, so repeated rows repeat. Ties go to the word of the least hash.
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import U64, WORD, hashes, mix, owners, pieces, spans, strings
+from .text import U64, WORD, documents, hashes, mix, owners, pieces, spans, strings
 
 SAMPLES = 64
 STEPS = 1 << 16
@@ -70,7 +71,7 @@ def sample(word: np.ndarray, weight: np.ndarray, before: np.ndarray, samples: in
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and its signature, an array of `samples` ints."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = documents(docs, id_col, text_col)
 
     def sign(batches):
         gamma = gamma_quantiles()

@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import U64, WORD, Seen, counts_sketch, hashes, lists, member, membership, owners, pieces, rarity, ready, set_keys, signed, spans, strings, unique_by_owner
+from .text import U64, WORD, Seen, counts_sketch, documents, free, hashes, integer_id, lists, member, membership, owners, pieces, quoted, rarity, ready, set_keys, signed, spans, strings, unique_by_owner
 
 THRESHOLD = 0.9
 SKETCH_BITS = 20
-BITMAP_BITS = 25
+BITMAP_BITS = 28
 
 
 def parity(values: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -60,7 +60,7 @@ def line_sets(piece: pa.RecordBatch, text: str, ranks: np.ndarray | None = None)
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = SKETCH_BITS, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
     """The lines that go: doc_id, line (from 0), kept_doc_id and kept_line of the earliest match, jaccard."""
     spark = ready(docs.sparkSession)
-    docs = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = documents(docs, id_col, text_col).where("doc_id is not null and text is not null")
     # a set that small has no similar set but an equal one
     least = next(n for n in range(1, 1 << 20) if math.floor(n / threshold + 1e-9) > n or (n - 1) / (n + 1) >= threshold - 1e-12 or (n - 1) / n >= threshold - 1e-12)
     ranks = spark.sparkContext.broadcast(rarity(counts_sketch(docs, "text", lambda p: line_words(p, "text")[0], sketch_bits)))
@@ -138,9 +138,17 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
 
 def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """The documents without their removed lines. A document that loses lines and has no visible character left goes."""
-    lost = removed.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__lost"))
-    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains("__lost", i)), "\n")
-    out = docs.join(lost, F.col(id_col).cast("long") == F.col("__id"), "left").withColumn("__new", F.when(F.col("__lost").isNotNull(), kept).otherwise(F.col(text_col)))
-    out = out.where(F.col("__lost").isNull() | F.col("__new").rlike(r"\S"))
-    columns = [F.col("__new").alias(c) if c == text_col else F.when(F.col("__lost").isNotNull(), F.length("__new")).otherwise(F.col(c)).cast(t).alias(c) if c == chars_col else F.col(f"`{c}`") for c, t in docs.dtypes]
-    return out.select(*columns)
+    own, lost, new = (free(docs, name) for name in ("own_id", "lost_lines", "new_text"))
+    gone = removed.groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("line").alias(lost))
+    kept = F.array_join(F.filter(F.split(quoted(text_col), "\n", -1), lambda x, i: ~F.array_contains(lost, i)), "\n")
+    out = docs.join(gone, integer_id(docs, id_col) == F.col(own), "left").withColumn(new, F.when(F.col(lost).isNotNull(), kept).otherwise(quoted(text_col)))
+    out = out.where(F.col(lost).isNull() | F.col(new).rlike(r"\S"))
+
+    def column(c, kind):
+        if c == text_col:
+            return F.col(new).alias(c)
+        if c == chars_col:
+            return F.when(F.col(lost).isNotNull(), F.length(new)).otherwise(quoted(c)).cast(kind).alias(c)
+        return quoted(c)
+
+    return out.select(*[column(c, kind) for c, kind in docs.dtypes])

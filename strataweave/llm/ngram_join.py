@@ -41,7 +41,7 @@ BLOCK = 4000
 BLOCK_GRAMS = 4_000_000
 TOGETHER = 1000
 SKETCH_BITS = 20
-BITMAP_BITS = 25
+BITMAP_BITS = 28
 
 
 def grams(piece: pa.RecordBatch, text: str, n: int):

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import U64, WORD, hashes, owners, pieces, ready, spans, strings
+from .text import U64, WORD, documents, filtered, hashes, integer_id, owners, pieces, quoted, ready, spans, strings
 
 MOST_POSITIVES = 20_000
 RIDGE = 1e-4
@@ -233,8 +233,8 @@ def histogram(docs: DataFrame, weights: np.ndarray, held: np.ndarray, bins: int
 
 def trusted(labels: DataFrame, most: int, label_id: str, quality_col: str, toxic_col: str) -> np.ndarray:
     """Ids of the trusted positives, by hash."""
-    good = labels.where(F.col(label_id).isNotNull()).groupBy(F.col(label_id).cast("long").alias("doc_id"))
-    good = good.agg(F.min(quality_col).alias("low"), F.max(quality_col).alias("high"), F.max(F.coalesce(F.col(toxic_col), F.lit(0))).alias("toxic"))
+    good = labels.select(integer_id(labels, label_id).alias("doc_id"), quoted(quality_col).alias("quality"), quoted(toxic_col).alias("toxic"))
+    good = good.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     rows = good.where("low = 1 and high = 1 and toxic = 0").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
     return np.array([r["doc_id"] for r in rows], np.int64)
 
@@ -242,7 +242,7 @@ def trusted(labels: DataFrame, most: int, label_id: str, quality_col: str, toxic
 def fitted(docs: DataFrame, labels: DataFrame, most_positives: int = MOST_POSITIVES, ridge: float = RIDGE, prior: float | None = None, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", quality_col: str = "quality", toxic_col: str = "toxic") -> Model:
     """The classifier; the prior is estimated unless given."""
     ready(docs.sparkSession)
-    docs = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = documents(docs, id_col, text_col).where("text is not null")
     ids = trusted(labels, most_positives, label_id, quality_col, toxic_col)
     held = np.arange(len(ids)) % 4 == 3
     levels = word_levels(docs, np.sort(ids[~held])) if len(ids) else None
@@ -269,7 +269,7 @@ def judged(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.n
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score and accepted of every row."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = documents(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches):
@@ -283,13 +283,5 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def only_accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The accepted documents in all their columns; nothing is shuffled."""
-    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
-
-    def keep(batches):
-        for batch in batches:
-            names = [f"c{k}" for k in range(batch.num_columns)]
-            for piece in pieces(pa.RecordBatch.from_arrays(batch.columns, names=names), f"c{place}", PIECE):
-                good = judged(piece[f"c{place}"], shared.value)[2]
-                yield pa.RecordBatch.from_arrays(piece.filter(pa.array(good)).columns, names=batch.schema.names)
-
-    return docs.mapInArrow(keep, docs.schema)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return filtered(docs, text_col, lambda column: judged(column, shared.value)[2], PIECE)

@@ -11,6 +11,7 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, NullType, ShortType
@@ -179,6 +180,19 @@ def documents(docs: DataFrame, id_col: str, text_col: str, **more: str) -> DataF
     return docs.select(integer_id(docs, id_col).alias("doc_id"), quoted(text_col).alias("text"), *[quoted(c).alias(n) for n, c in more.items()])
 
 
+def filtered(docs: DataFrame, text_col: str, good, most: int = PIECE_BYTES) -> DataFrame:
+    """The rows, in all their columns, for whose texts good(array of texts) is true; nothing is shuffled."""
+    place = docs.columns.index(text_col)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+
+    def keep(batches):
+        for batch in batches:
+            for piece in pieces(batch, f"c{place}", most):
+                yield piece.filter(pa.array(good(piece[f"c{place}"])))
+
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
+
+
 def free(docs: DataFrame, name: str) -> str:
     """The name, made longer until the table has no such column."""
     taken = {c.lower() for c in docs.columns}
@@ -191,14 +205,15 @@ def counts_sketch(docs: DataFrame, text: str, keys, bits: int) -> np.ndarray:
     """How often each of 2**bits buckets of hashed keys occurs in the whole table.
 
     keys(batch) gives the hashes of a piece. The size is fixed, so it may be sent to every executor whatever the
-    input; a bucket's count is never below the count of any of its keys.
+    input; a bucket's count is never below the count of any of its keys. Where there are far more keys than buckets, rare keys
+    share a level of noise, above which frequent keys still stand out: that is all that an order by rarity needs.
     """
     block = 1 << 10
     blocks = max(1, (1 << bits) // block)
 
     def count(batches):
         total = np.zeros(1 << bits, np.uint32)
-        some = False
+        some, task = False, TaskContext.get().partitionId()
         for batch in batches:
             for piece in pieces(batch, text):
                 h = keys(piece)
@@ -207,15 +222,18 @@ def counts_sketch(docs: DataFrame, text: str, keys, bits: int) -> np.ndarray:
                     total += np.bincount((h >> U64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
         if some:
             parts = total.reshape(blocks, -1)
-            yield pa.record_batch({"block": pa.array(np.arange(blocks), pa.int32()), "counts": pa.array([x.tobytes() for x in parts], pa.binary())})
+            yield pa.record_batch({"block": pa.array(np.arange(blocks), pa.int32()), "task": pa.array(np.full(blocks, task, np.int32)), "counts": pa.array([x.tobytes() for x in parts], pa.binary())})
 
     def add(key, table):
         total = np.zeros((1 << bits) // blocks, np.int64)
         for x in table["counts"].to_pylist():
             total += np.frombuffer(x, np.uint32)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([0], pa.int32()), "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
-    rows = docs.select(F.col(text)).mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
+    # in two steps, so that no group grows with the number of tasks beyond its square root
+    schema = "block int, task int, counts binary"
+    some = docs.select(F.col(text)).mapInArrow(count, schema).groupBy("block", F.expr("task div 1024").alias("part")).applyInArrow(add, schema)
+    rows = some.groupBy("block").applyInArrow(add, schema).collect()
     out = np.zeros((blocks, (1 << bits) // blocks), np.uint32)
     for r in rows:
         out[r["block"]] = np.frombuffer(bytes(r["counts"]), np.uint32)
@@ -227,9 +245,12 @@ def rarity(counts: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.floor(2 * np.log2(counts.astype(np.float64) + 1))).astype(np.uint8)
 
 
-def membership(keys: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A bitmap of 2**bits bits with one bit set for each 64-bit key. Fixed in size; one that fills up lets more through, never less."""
-    block = 1 << 15
+def membership(keys: DataFrame, column: str, most: int) -> np.ndarray:
+    """A bitmap with one bit set for each 64-bit key, of 16 bits a key but 2**most bits at most: one that fills up lets more through, never less.
+
+    keys should be a checkpoint, as it is counted first.
+    """
+    block, bits = 1 << 15, min(most, max(20, (16 * keys.count()).bit_length()))
 
     def mark(key, table):
         on = np.zeros(block, bool)

@@ -1,7 +1,8 @@
 """Token counts by a linear longest-match automaton over the trie of a word-piece vocabulary.
 
 A word is cut by taking the longest piece of the vocabulary again and again. Pieces that begin with the mark for a
-word's start match there only. The trie of the pieces gets failure links: where a node has no child for a byte, the
+word's start match there only. If the mark alone is a piece too, it stands for itself where no longer piece with a mark
+matches, and counts one; otherwise pieces without a mark match at a word's start as well, and the mark costs nothing. The trie of the pieces gets failure links: where a node has no child for a byte, the
 pieces that longest match would take from what was read are popped, and the link leads to the node for the rest. Links
 and the numbers of pieces popped on the way are worked out beforehand for every node and byte, so a word costs one
 step a byte and only a count is kept; pieces are never built. Bytes that no piece covers count one each.
@@ -19,9 +20,8 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .text import NOT_SPACE, pieces, spans, strings
+from .text import NOT_SPACE, documents, pieces, spans, strings
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -38,12 +38,14 @@ def word_pieces(path: str) -> list[str]:
 class Automaton:
     """step[node, byte] is the next node and popped[node, byte] the pieces popped on the way; ending[node] the pieces popped at a word's end.
 
-    Node 0 is the start of a word, node 1 the place behind a piece.
+    Node 0 is the start of a word, behind its mark, node 1 the place behind a piece.
     """
 
     def __init__(self, vocabulary: list[str], mark: str = MARK):
-        names = {p.removeprefix(mark).encode() for p in vocabulary if p.startswith(mark) and p != mark}, {p.encode() for p in vocabulary if not p.startswith(mark)}
-        names = tuple(n | {bytes([b]) for b in range(256)} for n in (names[0] | names[1], names[1]))  # unknown bytes are pieces of one byte
+        alone = mark in vocabulary
+        first, inner = {p.removeprefix(mark).encode() for p in vocabulary if p.startswith(mark) and p != mark}, {p.encode() for p in vocabulary if p and not p.startswith(mark)}
+        inner |= {bytes([b]) for b in range(256)}  # unknown bytes are pieces of one byte
+        names = first if alone else first | inner, inner
         child: list[dict[int, int]] = [{}, {}]
         piece = [False, False]
         for root in (0, 1):
@@ -59,10 +61,12 @@ class Automaton:
                 piece[u] = True
         n = len(child)
         self.step = np.zeros((n, 256), np.int32)
-        self.popped = np.zeros((n, 256), np.uint8)
+        self.popped = np.zeros((n, 256), np.int32)
         self.ending = np.zeros(n, np.int64)
         link, pops, depth = [-1] * n, [0] * n, [0] * n
-        queue = [0, 1]
+        if alone:
+            link[0], pops[0] = 1, 1
+        queue = [1, 0]
         for u in queue:
             for b, v in child[u].items():
                 depth[v] = depth[u] + 1
@@ -76,7 +80,7 @@ class Automaton:
                     link[v], pops[v] = child[z][b], k
                 queue.append(v)
         for u in queue:
-            if u > 1:
+            if link[u] >= 0:
                 self.step[u] = self.step[link[u]]
                 self.popped[u] = self.popped[link[u]] + pops[u]
                 self.ending[u] = pops[u] + self.ending[link[u]]
@@ -112,7 +116,7 @@ def automaton(vocabulary: list[str]) -> Automaton:
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | list[str] = VOCABULARY) -> DataFrame:
     """doc_id, n_words, n_tokens."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = documents(docs, id_col, text_col)
     names = docs.sparkSession.sparkContext.broadcast(word_pieces(vocabulary) if isinstance(vocabulary, str) else vocabulary)
 
     def count(batches):

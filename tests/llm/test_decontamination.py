@@ -16,7 +16,7 @@ def brute(rows, items, threshold, radius, n=d.SHINGLE):
     cut = {}
     for i, t in items:
         _, _, _, before, gram, inside, _, _ = d.shingle_words(pa.array([t]), n)
-        if before[-1] >= d.LEAST_WORDS:
+        if before[-1] >= n:
             cut[i, t] = (int(before[-1]), [int(g) for g, ok in zip(gram, inside) if ok])
     frequency = Counter(g for _, grams in cut.values() for g in set(grams))
     weight = lambda g: int(d.weights(np.array([max(1, frequency[g])]), len(cut))[0])
@@ -26,6 +26,11 @@ def brute(rows, items, threshold, radius, n=d.SHINGLE):
         return sum(1 << b for b in range(64) if votes[b] > 0)
 
     out = {}
+    for doc, text in rows:
+        said = " " + " ".join((text or "").lower().split()) + " "
+        for item, t in items:
+            if doc is not None and 0 < len(t.split()) < n and f" {t} " in said:
+                out[doc, item] = 1.0
     for doc, text in rows:
         if doc is None or text is None:
             continue
@@ -46,7 +51,7 @@ def brute(rows, items, threshold, radius, n=d.SHINGLE):
 def made(seed):
     rng = random.Random(seed)
     word = lambda: f"w{rng.randrange(80)}"
-    items = [(k, " ".join(word() for _ in range(rng.randint(5, 14)))) for k in range(8)] + [(20, "w1 w2"), (21, None), (None, "w1 w2 w3 w4 w5 w6"), (0, "w9 w9 w9 w9 w9 w9 w9")]
+    items = [(k, " ".join(word() for _ in range(rng.randint(5, 14)))) for k in range(8)] + [(20, "w1 w2"), (23, "w7"), (24, "w1 w2"), (25, "--"), (21, None), (None, "w1 w2 w3 w4 w5 w6"), (0, "w9 w9 w9 w9 w9 w9 w9")]
     rows = []
     for k in range(25):
         w = [word() for _ in range(rng.randint(0, 30))]
@@ -90,6 +95,11 @@ def test_offsets_and_recall(spark):
         assert got[k]["item_id"] == k and got[k]["distance"] == 0 and dict(rows)[k][got[k]["start"] : got[k]["end"]] == t
 
 
+def test_short_items(spark):
+    docs, bench = frames(spark, [(1, "So: What is 2+2? said"), (2, "what is 2"), (3, "Oui, NON"), (4, "non oui")], [(7, "What is 2+2"), (8, "oui non")])
+    assert {(r["doc_id"], r["item_id"], r["start"], r["end"]) for r in d.leaks(docs, bench).collect()} == {(1, 7, 4, 15), (3, 8, 0, 8)}
+
+
 def test_nothing(spark):
     docs, bench = frames(spark, [], [])
     full, items = frames(spark, [(1, "a b c d e f g")], [(1, "a b c d e f g")])
