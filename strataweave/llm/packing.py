@@ -8,8 +8,9 @@ completed by the fullest combinations of what is left. Then the actual pieces ta
 and the small ones go, longest first, where they leave the least room (best fit), opening bins only where none fits.
 
 All of this needs only how many pieces have each length, at most CAPACITY numbers whatever the input, and gives runs:
-so many pieces of a length, by rank, into consecutive bins. Pieces look up their run by (length, rank), so that no
-step is sequential in the number of documents.
+so many pieces of a length, by rank, into consecutive bins. Pieces are sorted by length, doc_id and piece over all
+tasks; a task knows how many pieces of each of its lengths come before it, so pieces get their ranks, and look up their
+runs, without a group for a length, and no step is sequential in the number of documents.
 
 Defined cases: a null or empty text has one row with n_tokens 0 and no bin; a null id stays null and takes part.
 Ties in length are broken by doc_id and piece; repeated rows are packed each. Extra columns are left alone.
@@ -18,14 +19,16 @@ Ties in length are broken by doc_id and piece; repeated rows are packed each. Ex
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import BPE_BYTES, PATTERN, VOCABULARY, Encoder, ranks
-from .text import pieces, ready
+from .text import documents, integer_id, pieces, quoted, ready
 
 CAPACITY = 2048
 GROUPS = 16
@@ -171,26 +174,38 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, smal
     """doc_id, piece, start_token, n_tokens, bin and position (of its first token in the bin). length_col, if given, has the tokens of each text."""
     spark = ready(docs.sparkSession)
     if length_col is None:
-        totals = lengths_of(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), vocabulary, pattern)
+        totals = lengths_of(documents(docs, id_col, text_col), vocabulary, pattern)
     else:
-        totals = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(length_col), F.lit(0)).cast("long").alias("total"))
+        totals = docs.select(integer_id(docs, id_col).alias("doc_id"), F.coalesce(quoted(length_col), F.lit(0)).cast("long").alias("total"))
     cut = totals.select("doc_id", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.expr(f"(total - 1) div {capacity}")))).alias("piece"))
     cut = cut.select("doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * capacity).alias("start_token"), F.least(F.lit(capacity).cast("long"), F.col("total") - F.col("piece") * capacity).cast("int").alias("n_tokens")).checkpoint()
-    counted = {r["n_tokens"]: r["count"] for r in cut.where("n_tokens > 0").groupBy("n_tokens").count().collect()}
+    # by ranges of (length, doc_id, piece): a length that a third of all pieces have is spread over many tasks
+    order = ["n_tokens", "doc_id", "piece"]
+    ranged = cut.where("n_tokens > 0").repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
+    held = ranged.groupBy(F.spark_partition_id().alias("part"), "n_tokens").count().collect()  # a row for each task and each length
+    counted: dict[int, int] = {}
+    first: dict[tuple[int, int], int] = {}
+    for part, n, count in sorted(tuple(r) for r in held):
+        first[part, n] = counted.get(n, 0)
+        counted[n] = first[part, n] + count
     runs, _ = plan(counted, capacity, groups, small)
-    shared = spark.sparkContext.broadcast(runs)
+    shared = spark.sparkContext.broadcast((runs, first))
 
     def place(batches):
-        r = shared.value
+        r, first = shared.value
+        part, seen = TaskContext.get().partitionId(), Counter()
         key = r[:, 0] << 44 | r[:, 1]
         for batch in batches:
-            n, rank = batch["n_tokens"].to_numpy().astype(np.int64), batch["rank"].to_numpy().astype(np.int64)
+            n = batch["n_tokens"].to_numpy().astype(np.int64)
+            names, begin, size = np.unique(n, return_index=True, return_counts=True)
+            base = np.array([first[part, k] + seen[k] for k in names.tolist()], np.int64) - begin
+            seen.update(dict(zip(names.tolist(), size.tolist())))
+            rank = np.arange(len(n)) + np.repeat(base, size)
             at = np.searchsorted(key, n << 44 | rank, "right") - 1
             k, q = rank - r[at, 1], r[at, 4]
             cols = [batch[c] for c in ("doc_id", "piece", "start_token", "n_tokens")]
             yield pa.record_batch([*cols, pa.array(r[at, 3] + k // q), pa.array((r[at, 5] + k % q * n).astype(np.int32))], names=["doc_id", "piece", "start_token", "n_tokens", "bin", "position"])
 
     schema = "doc_id long, piece int, start_token long, n_tokens int, bin long, position int"
-    ranked = cut.where("n_tokens > 0").withColumn("rank", F.row_number().over(Window.partitionBy("n_tokens").orderBy("doc_id", "piece")).cast("long") - 1)
     none = cut.where("n_tokens = 0").select("doc_id", "piece", "start_token", "n_tokens", F.lit(None).cast("long").alias("bin"), F.lit(None).cast("int").alias("position"))
-    return ranked.mapInArrow(place, schema).union(none)
+    return ranged.mapInArrow(place, schema).union(none)
