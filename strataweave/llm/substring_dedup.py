@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import U64, WORD, char_index, hashes, mix, owners, pieces, ready, signed, spans, strings
+from .text import U64, WORD, char_index, documents, hashes, member, membership, mix, owners, pieces, ready, signed, spans, strings
 
 WORDS = 40
 REACH = 11
+BITMAP_BITS = 28
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -133,18 +134,24 @@ def extended(docs: DataFrame, found: DataFrame, most: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, words: int = WORDS, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The spans to remove: doc_id, start, end (characters of the text), kept_doc_id and kept_start of the occurrence that stays, units found in it."""
     ready(docs.sparkSession)
-    docs = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = documents(docs, id_col, text_col).where("doc_id is not null and text is not null")
 
-    def digests(batches):
+    def digests(batches, repeated=None):
         for batch in batches:
             for piece in pieces(batch, "text"):
                 h, doc, first, end = units(piece, "text", words, reach)
+                if repeated is not None:
+                    some = np.flatnonzero(member(repeated.value, h))
+                    h, doc, first, end = h[some], doc[some], first[some], end[some]
                 if len(h):
                     yield pa.record_batch({"h": pa.array(signed(h)), "doc_id": piece["doc_id"].take(pa.array(doc)), "span": pa.array(first << 32 | end)})
 
-    found = docs.mapInArrow(digests, "h long, doc_id long, span long")
-    rank = Window.partitionBy("h").orderBy("doc_id", "span").rowsBetween(Window.unboundedPreceding, 0)
-    later = found.select((F.col("h").bitwiseAND(F.lit(1)) == 0).alias("window"), "doc_id", "span", F.first("doc_id").over(rank).alias("kept_doc_id"), F.first("span").over(rank).alias("kept"))
+    shape = "h long, doc_id long, span long"
+    # partial aggregation leaves one row a task of a line that is everywhere; the join back splits its rows where they are many
+    kept = docs.mapInArrow(digests, shape).groupBy("h").agg(F.min(F.struct("doc_id", "span")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    kept = kept.select("h", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.span").alias("kept")).checkpoint()
+    repeated = docs.sparkSession.sparkContext.broadcast(membership(kept, "h", BITMAP_BITS))
+    later = docs.mapInArrow(lambda batches: digests(batches, repeated), shape).join(kept, "h").select((F.col("h").bitwiseAND(F.lit(1)) == 0).alias("window"), "doc_id", "span", "kept_doc_id", "kept")
     later = later.where((F.col("doc_id") != F.col("kept_doc_id")) | (F.col("span") != F.col("kept")))
     low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
     start = F.when(F.col("doc_id") == F.col("kept_doc_id"), F.greatest(F.shiftright("span", 32), low("kept"))).otherwise(F.shiftright("span", 32))
