@@ -46,7 +46,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: The classifier, fingerprints and packing aren't for SQL; tests/llm compares the stages with brute-force versions.
+#: SQL can't express the classifier, fingerprints and packing; tests/llm/test_pipeline.py compares the other stages with brute force.
 ORACLE_SQL = None
 
 

@@ -1,6 +1,7 @@
 """Packing, token counts, token store, fingerprints and languages on small tables."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -56,9 +57,11 @@ def test_packing_is_close_to_best_fit(seed):
     assert bins <= 1.06 * len(open_) + packing.GROUPS
 
 
-def greedy(word, names, inner):
+def greedy(word, names, inner, alone=False):
     count, at = 0, 0
     data = word.encode()
+    if alone and not any(data[:e] in names for e in range(1, len(data) + 1)):
+        count, names = 1, inner
     while at < len(data):
         table = names if at == 0 else inner
         end = next((e for e in range(len(data), at, -1) if data[at:e] in table), at + 1)
@@ -74,11 +77,22 @@ def test_token_counts(spark):
     want = Counter((i, len((t or "").split()), sum(greedy(w, first, inner) for w in (t or "").split())) for i, t in TEXTS)
     assert got == want
     real = token_counts.word_pieces(token_counts.VOCABULARY)
-    names = {p.removeprefix("▁").encode() for p in real if p != "▁"}, {p.encode() for p in real if p[0] != "▁"}
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(20)
+    names = {p.removeprefix("▁").encode() for p in real if p[0] == "▁" and p != "▁"}, {p.encode() for p in real if p[0] != "▁"}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    known = {}
     for r in token_counts.token_counts(docs).collect():
-        assert r["n_tokens"] == sum(greedy(w, *names) for w in texts[r["doc_id"]].split())
+        words = re.findall(r"[^ \t\n\r\v\f]+", texts[r["doc_id"]])
+        known |= {w: greedy(w, *names, alone="▁" in real) for w in words if w not in known}
+        assert r["n_tokens"] == sum(known[w] for w in words)
+    assert token_counts.token_counts(docs.limit(0)).count() == 0
+
+
+def test_long_pieces_and_the_mark_alone(spark):
+    docs = spark.createDataFrame([(1, "a" * 298 + "b"), (2, "ab b"), (3, "a" * 300)], "doc_id long, text string")
+    count = lambda vocabulary: {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, vocabulary=vocabulary).collect()}
+    assert count(["a" * 300]) == {1: 299, 2: 3, 3: 1}
+    assert count(["▁", "▁a", "ab"]) == {1: 1 + 296 + 1, 2: 2 + 2, 3: 300}
 
 
 def test_store_round_trip(spark):
@@ -94,11 +108,30 @@ def test_store_round_trip(spark):
         if r["kind"] == "document" and r["doc_id"] is not None:
             ids = token_output.read_tokens(bytes(r["payload"]), bytes(head["payload"]), r["dict_hash"])
             assert ids.tolist() == coder.encode_ordinary(texts[r["doc_id"]] or "") and len(ids) == r["n_tokens"]
+    store = spark.createDataFrame(rows, token_output.SCHEMA)
+    for most_bytes in (1 << 20, 900):
+        blocks: dict = {}
+        for r in token_output.shards(store, most_bytes).collect():
+            blocks.setdefault(r["shard"], []).append((r["start"], bytes(r["data"])))
+        for r in rows:
+            if r["kind"] == "document":
+                start, data = max(b for b in blocks[r["shard"]] if b[0] <= r["offset"])
+                assert data[r["offset"] - start :][: r["length"]] == bytes(r["payload"])
     with pytest.raises(ValueError):
         token_output.read_tokens(b"", b"another", head["dict_hash"])
     assert token_output.tokens(frame(spark, [])).where("kind = 'document'").count() == 0
 
 
+def test_dictionary_sample_is_even(spark):
+    long = "".join(f"{k:07d} " for k in range(40_000))
+    docs = spark.createDataFrame([(None, long)] + [(k, f"short text number {k}") for k in range(500)] + [(k, "copy") for k in range(500)], "doc_id long, text string")
+    whole = token_output.sampled(docs, 10_000)
+    assert len(whole) == len(set(whole)) == 1 + 500 + -(-len(long) // token_output.BLOCK_CHARS)
+    part = token_output.sampled(docs, 200)
+    ends = [int(p[-9:].split()[-1]) for p in part if len(p) > 1000]
+    assert 40 < len(part) < 200 and max(ends) > 30_000 and min(ends) < 15_000
+
+
 def test_fingerprints_estimate_similarity(spark):
     rng = random.Random(3)
     words = [f"w{k}" for k in range(60)]
