@@ -85,6 +85,17 @@ def to_dot(graph: Graph) -> str:
     return "\n".join([f'digraph "{name}" {{', "  rankdir=LR;", "  node [fontsize=10, shape=ellipse, style=filled];", *lines, "}"])
 
 
+def write_parts(graph: Graph, form: str, folder: str) -> None:
+    """Text files whose lines, read in the order of their names, are the sorted rows of the format: for graphs too large for one document. Nothing passes the driver."""
+    rows = {
+        "dot": lambda: dot_lines(graph).orderBy("part", "a", "b", "c").select("line"),
+        "native": lambda: native_nodes(graph).select(F.lit(1).alias("part"), F.col("id").alias("a"), F.lit("").alias("b"), F.lit("").alias("c"), "json").union(native_edges(graph).select(F.lit(2), "src", "dst", "type", "json")).orderBy("part", "a", "b", "c").select("json"),
+    }
+    if form not in rows:
+        raise ValueError(f"{form!r} isn't written in parts; {' and '.join(rows)} are")
+    rows[form]().write.text(folder)
+
+
 def export(graph: Graph, form: str) -> str:
     made = {"dot": to_dot, "jgf": to_jgf, "native": to_native}
     if form not in made:
@@ -92,16 +103,16 @@ def export(graph: Graph, form: str) -> str:
     return made[form](graph)
 
 
-def view_nodes(graph: Graph) -> DataFrame:
+def view_nodes(graph: Graph, strategy: str = "distributed") -> DataFrame:
     """What a viewer draws: id, kind, label, path, deg, score, area, layer."""
     path = F.coalesce("path", F.lit(""))
-    rows = graph.nodes.join(degrees(graph), "id").join(pagerank(graph), "id", "left")
-    return rows.select("id", "kind", "label", "path", "deg", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"), top_area(path).alias("area"), layer(F.col("kind"), F.col("path"), F.col("category")).alias("layer"))
+    rows = graph.nodes.join(degrees(graph), "id").join(pagerank(graph, strategy=strategy), "id", "left")
+    return rows.select("id", "kind", "label", path.alias("path"), "deg", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"), top_area(path).alias("area"), layer(F.col("kind"), F.col("path"), F.col("category")).alias("layer"))
 
 
-def view_payload(graph: Graph) -> dict:
+def view_payload(graph: Graph, strategy: str = "distributed") -> dict:
     edges = graph.edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), "type").orderBy("source", "target", "type")
-    return {"project": graph.project, "nodes": [r.asDict() for r in view_nodes(graph).orderBy("id").collect()], "links": [r.asDict() for r in edges.collect()], "nodeColors": KIND_COLOURS, "edgeColors": EDGE_COLOURS}
+    return {"project": graph.project, "nodes": [r.asDict() for r in view_nodes(graph, strategy).orderBy("id").collect()], "links": [r.asDict() for r in edges.collect()], "nodeColors": KIND_COLOURS, "edgeColors": EDGE_COLOURS}
 
 
 PAGE = """<!doctype html><meta charset="utf-8"><title>graph</title><style>body{margin:0;font:13px sans-serif}canvas{display:block;width:100vw;height:100vh}#q{position:fixed;top:8px;left:8px}</style>
@@ -114,7 +125,7 @@ const w=q.value.toLowerCase();for(const n of d.nodes){x.globalAlpha=!w||n.id.toL
 addEventListener('resize',draw);q.oninput=draw;draw()</script>"""
 
 
-def render_view(graph: Graph) -> str:
+def render_view(graph: Graph, strategy: str = "distributed") -> str:
     """A page that needs no network. Every < of the data is escaped, so no name can end the script that holds it."""
-    data = json.dumps(view_payload(graph), ensure_ascii=False)
+    data = json.dumps(view_payload(graph, strategy), ensure_ascii=False)
     return PAGE.replace("%s", "\\u003c".join(data.split("<")))

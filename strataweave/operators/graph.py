@@ -26,9 +26,11 @@ def degrees(graph: Graph) -> DataFrame:
     return graph.nodes.select("id").join(ends, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("deg"))
 
 
-def with_degree(graph: Graph) -> DataFrame:
-    """The nodes and their degrees."""
-    return graph.nodes.join(degrees(graph), "id")
+def degrees_of(graph: Graph, ids: DataFrame) -> DataFrame:
+    """id, deg of the given ids alone: edge ends are cut down to them before they are counted."""
+    some = ids.select("id").distinct()
+    ends = graph.edges.select(F.explode(F.array("src", "dst")).alias("id")).join(some, "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return some.join(ends, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("deg"))
 
 
 def neighbour_ids(graph: Graph, node_id: str) -> DataFrame:
@@ -67,9 +69,9 @@ def induced_subgraph(graph: Graph, ids: DataFrame) -> Graph:
     return Graph(nodes.select(graph.nodes.columns), induced_edges(graph, nodes), graph.project)
 
 
-def backbone(graph: Graph, limit: int = 1500, scores: DataFrame | None = None) -> Graph:
+def backbone(graph: Graph, limit: int = 1500, scores: DataFrame | None = None, strategy: str = "distributed") -> Graph:
     """The limit nodes of the highest PageRank, and all areas."""
     from .rank import pagerank, top_ranked
 
-    best = top_ranked(graph, pagerank(graph) if scores is None else scores, limit=limit).select("id")
+    best = top_ranked(graph, pagerank(graph, strategy=strategy) if scores is None else scores, limit=limit).select("id")
     return induced_subgraph(graph, best.union(graph.nodes.where("kind = 'area'").select("id")))

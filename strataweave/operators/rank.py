@@ -1,8 +1,9 @@
 """PageRank, global and personalised, over the undirected weighted graph.
 
-Two strategies give the same numbers: a graph of at most LOCAL_EDGES edges and nodes, counted first, is pulled into
-arrays; a larger one stays distributed, with its adjacency partitioned and cached once and each iteration written
-to the checkpoint folder, so that neither plans nor losses of executors grow with the iterations.
+The graph stays distributed: adjacency is partitioned and cached once, nodes with many links are spread over several
+places, and the scores go to the checkpoint folder every ROUNDS iterations, so that neither plans nor losses of executors
+grow with the iterations. Nodes without links hold a known multiple of their restart, so that their mass needs no pass.
+``strategy="local"`` gives the same numbers from arrays on the driver, for callers who know that their graph is small.
 """
 
 from __future__ import annotations
@@ -15,25 +16,25 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import EDGE_WEIGHTS, OTHER_WEIGHT, Graph
-from .graph import undirected_weights
+from ..model import EDGE_WEIGHTS, OTHER_WEIGHT, Graph, edge_weight
 
 DAMPING, ITERATIONS, TOLERANCE = 0.85, 60, 1e-9
-LOCAL_EDGES = 4_000_000
+#: Iterations between two checkpoints, and between two looks at what still moves.
+ROUNDS = 5
+#: Links of a node that one place holds; a node with more is spread over as many as it takes.
+PLACE_LINKS = 1_000_000
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Makes sure that checkpoint() has a folder: the cluster's, or, where none is named (tests), one of our own."""
+    """Makes sure that checkpoint() has a folder: the cluster's or, in local mode (tests) alone, one of our own."""
     sc = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return spark
 
 
-def is_small(graph: Graph, most: int = LOCAL_EDGES) -> bool:
-    return graph.edges.limit(most + 1).count() <= most and graph.nodes.limit(most + 1).count() <= most
-
-
 class LocalGraph:
     """A graph as arrays: sorted ids, and its edges as pairs of their places."""
 
@@ -76,23 +77,22 @@ def pagerank_local(graph: LocalGraph, restart: np.ndarray, damping: float, itera
     return score
 
 
-def restart_of(graph: Graph, seeds: DataFrame | None) -> DataFrame:
-    """id, r of every node; seeds has id and weight. Negative weights count as 0, unknown ids not at all; no weight left: all alike."""
-    nodes = graph.nodes.select("id")
-    n = nodes.count()
+def restart_of(keyed: DataFrame, seeds: DataFrame | None) -> DataFrame:
+    """k, r of every node; seeds has id and weight. Negative weights count as 0, unknown ids not at all; no weight left: all alike."""
+    nodes = keyed.select("k")
     if seeds is not None:
-        kept = seeds.groupBy("id").agg(F.sum(F.greatest(F.col("weight").cast("double"), F.lit(0.0))).alias("w")).join(nodes, "id", "left_semi")
+        kept = seeds.groupBy("id").agg(F.sum(F.greatest(F.col("weight").cast("double"), F.lit(0.0))).alias("w")).join(keyed, "id").select("k", "w")
         total = kept.agg(F.sum("w")).first()[0] or 0.0
         if total > 0:
-            return nodes.join(kept, "id", "left").select("id", (F.coalesce("w", F.lit(0.0)) / F.lit(total)).alias("r"))
-    return nodes.select("id", F.lit(1.0 / max(1, n)).alias("r"))
+            return nodes.join(kept, "k", "left").select("k", (F.coalesce("w", F.lit(0.0)) / F.lit(total)).alias("r"))
+    return nodes.select("k", F.lit(1.0 / max(1, nodes.count())).alias("r"))
 
 
-def pagerank(graph: Graph, seeds: DataFrame | None = None, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float = TOLERANCE, strategy: str = "auto", local: LocalGraph | None = None) -> DataFrame:
-    """id, score of every node. seeds (id, weight) bias where walks restart. strategy: auto, local or distributed."""
+def pagerank(graph: Graph, seeds: DataFrame | None = None, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float = TOLERANCE, strategy: str = "distributed") -> DataFrame:
+    """id, score of every node. seeds (id, weight) bias where walks restart. Convergence is looked at every ROUNDS iterations."""
     spark = ready(graph.spark)
-    if strategy == "local" or local is not None or (strategy == "auto" and is_small(graph)):
-        local = local or LocalGraph(graph)
+    if strategy == "local":
+        local = LocalGraph(graph)
         restart = np.full(local.n, 1.0 / max(1, local.n))
         if seeds is not None:
             given = seeds.select("id", F.col("weight").cast("double")).toArrow()
@@ -101,25 +101,39 @@ def pagerank(graph: Graph, seeds: DataFrame | None = None, damping: float = DAMP
             some = np.bincount(at.drop_null().to_numpy().astype(np.int64), np.maximum(0, given["weight"].to_numpy())[ok], local.n)
             restart = some / some.sum() if some.sum() > 0 else restart
         return local.frame(spark, score=pagerank_local(local, restart, damping, iterations, tolerance))
-    half = undirected_weights(graph)
-    total = half.groupBy("a").agg(F.sum("w").alias("total"))
-    links = half.join(total, "a").select("a", "b", (F.col("w") / F.col("total")).alias("share")).repartition("a").persist()
-    base = restart_of(graph, seeds).join(total.select(F.col("a").alias("id"), F.lit(False).alias("linked")), "id", "left").select("id", "r", F.coalesce("linked", F.lit(True)).alias("idle")).repartition("id").persist()
-    score = base.select("id", F.col("r").alias("score"))
+    # numbers for names: the loop shuffles and compares nothing else
+    keyed = graph.nodes.select("id").withColumn("k", F.monotonically_increasing_id()).checkpoint()
+    ends = graph.edges.join(keyed.select(F.col("id").alias("src"), F.col("k").alias("a")), "src").join(keyed.select(F.col("id").alias("dst"), F.col("k").alias("b")), "dst")
+    ends = ends.select("a", "b", edge_weight(F.col("type")).alias("w"))
+    half = ends.union(ends.select(F.col("b"), F.col("a"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w")).checkpoint()
+    total = half.groupBy("a").agg(F.sum("w").alias("total"), F.ceil(F.count(F.lit(1)) / F.lit(PLACE_LINKS)).cast("int").alias("places"))
+    place = F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place")
+    links = half.join(total, "a").select("a", place, "b", (F.col("w") / F.col("total")).alias("share"))
+    base = restart_of(keyed, seeds).join(total.select(F.col("a").alias("k"), "places"), "k", "left").repartition("k").sortWithinPartitions("k").persist()
+    linked, idle = base.where("places is not null"), base.where("places is null")
+    lost, places = idle.agg(F.sum("r")).first()[0] or 0.0, linked.agg(F.max("places")).first()[0] or 1
+    by = ["a", "place"] if places > 1 else ["a"]
+    links = links.repartition(*by).sortWithinPartitions(*by).persist()
     try:
-        for _ in range(max(1, iterations)):
-            lost = base.where("idle").join(score, "id").agg(F.sum("score")).first()[0] or 0.0
-            got = links.join(score, links.a == score.id).groupBy("b").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-            new = base.join(got, base.id == got.b, "left").join(score.withColumnRenamed("score", "old"), "id")
-            new = new.select("id", ((1 - damping) * F.col("r") + damping * F.coalesce("got", F.lit(0.0)) + damping * lost * F.col("r")).alias("score"), "old").checkpoint()
-            moved = new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0
-            score = new.select("id", "score")
-            if moved < tolerance:
+        # nodes without links get nothing: they hold `level` times their restart, and the others know how much that is
+        score, level, done, limit = linked.select("k", F.col("r").alias("score"), "places"), 1.0, 0, max(1, iterations)
+        while done < limit:
+            for i in range(rounds := min(ROUNDS, limit - done)):
+                level = (1 - damping) + damping * lost * level
+                spread = score.select(F.col("k").alias("a"), "score", *([F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place")] if places > 1 else []))
+                got = links.join(spread, by).groupBy("b").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
+                new = linked.join(got, linked.k == got.b, "left").select("k", (F.lit(level) * F.col("r") + damping * F.coalesce("got", F.lit(0.0))).alias("score"), "places")
+                if i == rounds - 1 and tolerance > 0:
+                    new = new.join(score.select("k", F.col("score").alias("old")), "k")
+                score = new
+            score, done = score.checkpoint(), done + rounds
+            if tolerance > 0 and (score.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0) < tolerance:
                 break
+        whole = score.select("k", "score").union(idle.select("k", F.lit(level) * F.col("r")))
+        return keyed.join(whole, "k").select("id", "score").checkpoint()
     finally:
         links.unpersist()
         base.unpersist()
-    return score
 
 
 def top_ranked(graph: Graph, scores: DataFrame, kind: str | None = None, limit: int | None = 10) -> DataFrame:

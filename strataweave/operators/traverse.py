@@ -1,7 +1,7 @@
 """Seeds, typed reachability, shortest paths and reading orders.
 
-Reachability and paths have the two strategies of ``rank``: arrays for graphs that were counted and found small, a
-join and anti-join a level, checkpointed, for larger ones.
+Reachability and paths take a join and an anti-join a level, and each level goes to the checkpoint folder. As in ``rank``,
+``strategy="local"`` gives the same from arrays on the driver, for callers who know that their graph is small.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import NEEDING, SPREADING, Graph
-from .graph import has_node, with_degree
-from .rank import LocalGraph, is_small, ready
+from .graph import degrees_of, has_node
+from .rank import LocalGraph, ready
 
 
 def seed_hits(query: str, node_id: Column, label: Column) -> Column:
@@ -27,8 +27,8 @@ def seed_hits(query: str, node_id: Column, label: Column) -> Column:
 
 def seed_scores(graph: Graph, query: str) -> DataFrame:
     """id, score of the nodes, areas aside, that match the query at all: 100 for each hit, and the degree."""
-    scored = with_degree(graph).where("kind <> 'area'").select("id", "deg", seed_hits(query, F.col("id"), F.col("label")).alias("hits"))
-    return scored.where("hits > 0").select("id", (F.col("hits") * 100 + F.col("deg")).cast("long").alias("score"))
+    hit = graph.nodes.where("kind <> 'area'").select("id", seed_hits(query, F.col("id"), F.col("label")).alias("hits")).where("hits > 0")
+    return hit.join(degrees_of(graph, hit), "id").select("id", (F.col("hits") * 100 + F.col("deg")).cast("long").alias("score"))
 
 
 def resolve_seeds(graph: Graph, query: str, most: int = 25) -> list[str]:
@@ -54,11 +54,11 @@ def expanded(graph: Graph, seeds: DataFrame) -> DataFrame:
     return known.select("id").union(down).union(up).distinct()
 
 
-def reach(graph: Graph, seeds: DataFrame, dependents: bool = True, hops: int | None = None, types: tuple[str, ...] = SPREADING, strategy: str = "auto", local: LocalGraph | None = None) -> DataFrame:
+def reach(graph: Graph, seeds: DataFrame, dependents: bool = True, hops: int | None = None, types: tuple[str, ...] = SPREADING, strategy: str = "distributed") -> DataFrame:
     """id, dist: the fewest edges from a seed, against their direction for dependents; seeds have 0."""
     spark = ready(graph.spark)
-    if strategy == "local" or local is not None or (strategy == "auto" and is_small(graph)):
-        g = local or LocalGraph(graph)
+    if strategy == "local":
+        g = LocalGraph(graph)
         use = g.of_types(types)
         a, b = (g.dst[use], g.src[use]) if dependents else (g.src[use], g.dst[use])
         order = np.argsort(a, kind="stable")
@@ -88,12 +88,12 @@ def reach(graph: Graph, seeds: DataFrame, dependents: bool = True, hops: int | N
     return seen
 
 
-def shortest_path(graph: Graph, a: str, b: str, strategy: str = "auto") -> list[str]:
+def shortest_path(graph: Graph, a: str, b: str, strategy: str = "distributed") -> list[str]:
     """The ids of the shortest undirected path, the first of them in the order of their ids; [] if there is none."""
     ready(graph.spark)
     if a == b:
         return [a]
-    if strategy == "local" or (strategy == "auto" and is_small(graph)):
+    if strategy == "local":
         g = LocalGraph(graph)
         ends = g.places([a]), g.places([b])
         if not len(ends[0]) or not len(ends[1]):

@@ -17,7 +17,7 @@ from ..functions.syntax import parsed
 from ..model import Graph
 from ..operators import graph as g
 from ..operators.budget import rows_with_cost, within_budget
-from ..operators.export import dot_lines, native_edges, native_nodes, view_nodes
+from ..operators.export import dot_lines, jgf_nodes, native_edges, native_nodes, view_nodes
 from ..operators.rank import pagerank, top_ranked
 from ..operators.traverse import expanded, reach, resolve_seeds, seed_scores, shortest_path, steps
 from ..sources.history import parsed_log
@@ -234,7 +234,12 @@ def shortest_chain(graph):
     return steps(graph, path).select("step", "id")
 
 
-@on_graph()
+WHY = """SELECT step, q.id, kind, CASE WHEN step > 0 THEN coalesce(forth, back) END AS edge, CASE WHEN step > 0 THEN CASE WHEN forth IS NOT NULL THEN '->' ELSE '<-' END END AS dir
+FROM (SELECT unnest(range(1, len(path) + 1))::INTEGER - 1 AS step, unnest(path) AS id, unnest(list_prepend(NULL, path[:-2])) AS prev FROM (%s) WHERE id = (SELECT id FROM goal)) q
+JOIN nodes ON nodes.id = q.id LEFT JOIN (SELECT src, dst, min(type) AS forth FROM edges GROUP BY ALL) f ON f.src = prev AND f.dst = q.id LEFT JOIN (SELECT src, dst, min(type) AS back FROM edges GROUP BY ALL) b ON b.src = q.id AND b.dst = prev"""
+
+
+@on_graph(WHY % " UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(7)), PATH_SQL)
 def why_steps(graph):
     goal = graph.nodes.where(F.col("id").startswith(ENDS[1])).agg(F.max("id")).first()[0]
     return steps(graph, shortest_path(graph, ENDS[0], goal) if goal else [])
@@ -243,7 +248,10 @@ def why_steps(graph):
 # -- composed queries
 
 
-@on_graph()
+FOCUS = f",\npicked AS MATERIALIZED ({PHRASE_SEEDS})" + oracle.walk(oracle.seeded("SELECT id FROM picked"), 60) + oracle.ROWS + oracle.budgeted("SELECT id, round(score, 12) AS score FROM s60", 400)
+
+
+@on_graph("SELECT rank, id, kind, cat, size, line, deg, round(score, 5) AS score, used::BIGINT AS used FROM kept", FOCUS)
 def focus(graph):
     return query.focus_rows(graph, resolve_seeds(graph, PHRASE), 400).select("rank", "id", "kind", "cat", "size", "line", "deg", F.round("score", 5).alias("score"), "used")
 
@@ -259,24 +267,39 @@ def focus_30(graph):
     return within_budget(graph, scores, 400).select("id", "deg", "cost", "used")
 
 
-@on_graph()
+IMPACT = oracle.reached(SEED, True, 12) + ",\nhit AS MATERIALIZED (SELECT id, dist FROM d12 WHERE dist > 0)"
+IMPACT += oracle.walk("SELECT id, coalesce(1.0::DOUBLE / (1 + dist) / (SELECT sum(1.0::DOUBLE / (1 + dist)) FROM hit), 0.0) AS r FROM nodes LEFT JOIN hit USING (id)", 60)
+IMPACT += oracle.ROWS + oracle.budgeted("SELECT id, round(score, 12) AS score FROM s60 JOIN hit USING (id)", 1500)
+
+
+@on_graph("SELECT rank, id, kind, deg, dist, round(score, 5) AS score, used::BIGINT AS used FROM kept JOIN hit USING (id)", IMPACT)
 def impact(graph):
     hit = query.affected(graph, [SEED])
     return query.impact_rows(graph, hit, 1500).select("rank", "id", "kind", "deg", "dist", F.round("score", 5).alias("score"), "used")
 
 
-@on_graph()
+@on_graph("SELECT step, id, layer, score, uses, used_by, used::BIGINT AS used FROM stops WHERE step = 1 OR used <= 2000", oracle.walk(oracle.UNIFORM, 60) + oracle.tour(40))
 def tour(graph):
     return query.tour_stops(graph, 2000, 40)
 
 
-@on_graph()
-def project_map(graph):
-    """The digest as rows of a name and a JSON value."""
-    import json
+MAP = """SELECT 'total' AS part, 'files' AS name, count(*)::DOUBLE AS value FROM files UNION ALL SELECT 'total', 'size', sum(size)::DOUBLE FROM files UNION ALL SELECT 'total', 'areas', count(DISTINCT split_part(path, '/', 1)) FROM files
+UNION ALL SELECT 'total', 'symbols', count(*) FROM nodes WHERE kind = 'symbol' UNION ALL SELECT 'total', 'edges', count(*) FROM edges UNION ALL SELECT 'total', 'broken_refs', 0
+UNION ALL SELECT 'total', 'orphans', count(*) FROM files WHERE path NOT IN (SELECT src FROM edges WHERE type <> 'belongs_to' UNION SELECT dst FROM edges WHERE type <> 'belongs_to')
+UNION ALL SELECT 'node_kinds', kind, count(*) FROM nodes GROUP BY kind UNION ALL SELECT 'edge_types', type, count(*) FROM edges GROUP BY type
+UNION ALL SELECT 'area ' || k, area, CASE k WHEN 'files' THEN n ELSE size END FROM (SELECT split_part(path, '/', 1) AS area, count(*) AS n, sum(size) AS size FROM files GROUP BY area ORDER BY size DESC, area LIMIT 8), (SELECT unnest(['files', 'size']) AS k)
+UNION ALL SELECT 'layer ' || k, layer, CASE k WHEN 'files' THEN n ELSE size END FROM (SELECT layer, count(*) AS n, sum(size) AS size FROM files GROUP BY layer), (SELECT unnest(['files', 'size']) AS k)
+UNION ALL SELECT 'important ' || kind, id, round(score, 5) FROM (SELECT id, kind, round(score, 12) AS score FROM nodes JOIN s60 USING (id) ORDER BY score DESC, id LIMIT 8)"""
 
-    rows = [(k, json.dumps(v, sort_keys=True)) for k, v in query.project_map(graph).items()]
-    return graph.spark.createDataFrame(rows, "name string, value string")
+
+@on_graph(MAP, oracle.walk(oracle.UNIFORM, 60))
+def project_map(graph):
+    """The digest as rows of numbers."""
+    digest = query.project_map(graph)
+    rows = [("total", k, v) for k, v in digest.items() if isinstance(v, int)] + [(part, k, v) for part in ("node_kinds", "edge_types") for k, v in digest[part].items()]
+    rows += [(f"{what} {k}", r[what], r[k]) for what, part in (("area", "by_area"), ("layer", "by_layer")) for r in digest[part] for k in ("files", "size")]
+    rows += [(f"important {r['kind']}", r["id"], r["score"]) for r in digest["most_important"]]
+    return graph.spark.createDataFrame([(a, b, float(v)) for a, b, v in rows], "part string, name string, value double")
 
 
 # -- exports
@@ -291,16 +314,35 @@ def dot_export(graph):
     return dot_lines(graph)
 
 
-@on_graph()
+FACTS = """concat_ws(',', '"size":' || size, '"line":' || line, CASE WHEN kind = 'symbol' THEN '"symbol":"function"' END, CASE WHEN kind = 'session' THEN '"date":"' || label || '"' END)"""
+NATIVE = f"""SELECT '{{"id":"' || id || '","kind":"' || kind || '","label":"' || label || '","path":' || coalesce('"' || path || '"', 'null') || ',"category":' || coalesce('"' || category || '"', 'null') || ',"description":"","meta":{{' || {FACTS} || '}}}}' AS json FROM nodes
+UNION ALL SELECT '{{"source":"' || src || '","target":"' || dst || '","type":"' || type || '","meta":{{}}}}' FROM edges"""
+JGF = f"""SELECT id, label, '{{' || concat_ws(',', '"kind":"' || kind || '"', '"category":"' || category || '"', '"path":"' || path || '"', nullif({FACTS}, '')) || '}}' AS facts FROM nodes"""
+
+
+@on_graph(JGF)
+def jgf_export(graph):
+    return jgf_nodes(graph)
+
+
+@on_graph(NATIVE)
 def native_export(graph):
     return native_nodes(graph).select("json").union(native_edges(graph).select("json"))
 
 
-@on_graph()
+@on_graph("SELECT id, kind, label, coalesce(path, '') AS path, deg, round(score, 6) AS score, CASE WHEN path LIKE '%/%' THEN split_part(path, '/', 1) ELSE '(root)' END AS area, layer FROM nodes JOIN deg USING (id) JOIN s60 USING (id)", oracle.walk(oracle.UNIFORM, 60))
 def view_rows(graph):
     return view_nodes(graph)
 
 
+@on_graph(f"SELECT 'out' AS side, dst AS other, type FROM edges WHERE src = '{SEED}' UNION ALL SELECT 'in', src, type FROM edges WHERE dst = '{SEED}' UNION ALL SELECT 'there', id, kind FROM nodes WHERE id = '{SEED}'")
+def edges_of_node(graph):
+    """Out-edges, in-edges, and whether there is such a node."""
+    out, back = g.out_edges(graph, SEED), g.in_edges(graph, SEED)
+    there = graph.nodes.where((F.col("id") == SEED) & F.lit(g.has_node(graph, SEED) and not g.has_node(graph, "nowhere")))
+    return out.select(F.lit("out").alias("side"), F.col("dst").alias("other"), "type").union(back.select(F.lit("in"), "src", "type")).union(there.select(F.lit("there"), "id", "kind"))
+
+
 # -- freshness
 
 
@@ -330,6 +372,16 @@ def page_targets(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(extract.attribute_targets(F.col("html"))).alias("target"))
 
 
+@query_of("SELECT p_partkey, unnest(CASE p_partkey % 3 WHEN 0 THEN ['d/p' || p_size || '.md'] WHEN 1 THEN ['q' || p_partkey || '.html', 'i' || p_size || '.csv'] ELSE [] END) AS target FROM part")
+def html_refs(spark, sf_dir):
+    """Of pages only attributes that name a known type count: no scripts, images, URLs or prose."""
+    page = F.expr(
+        """case p_partkey % 3 when 0 then concat('<a href="d/p', p_size, '.md#x"></a> <img src="i.png"> see src/a.py') when 1 then concat('<A HREF=''q', p_partkey, '.html?a=1''>é</A><script>[x](b.md)</script><a href = "i', p_size, '.csv">')
+        else concat('<a href="https://x.org/', p_partkey, '.md"></a><a href="mailto:a@b.c"> [l](k.md)') end"""
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(extract.references(page, F.lit(True))).alias("r")).select("p_partkey", "r.target")
+
+
 @query_of("SELECT DISTINCT o_orderkey, unnest(['ADR-' || o_orderkey % 50, 'RFC-' || o_custkey % 9, 'D-KEY-' || o_orderkey % 7]) AS decision FROM orders")
 def decision_ids(spark, sf_dir):
     k = lambda c, n: (F.col(c) % n).cast("string")
@@ -345,7 +397,7 @@ def doc_refs(spark, sf_dir):
     """Links, wikilinks and paths in prose; the URL doesn't count, and the second mention of a path neither."""
     text = F.expr("concat('[m](src/m', o_custkey, '.py#top) and [[Idea ', o_orderkey % 5, '|an idea]], `docs/x', o_orderkey % 13, '.md`; [w](https://x.org/a/b) and src/m', o_custkey, '.py')")
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.lit(".md").alias("ext"), text.alias("text"))
-    found = build.document_references(rows).where("not startswith(target, '/') and target <> 'x.org/a/b'")
+    found = build.document_references(rows)
     return found.select(F.col("file").cast("long").alias("o_orderkey"), "target", "kind", F.col("ord").cast("int").alias("ord"))
 
 
@@ -430,20 +482,24 @@ def script_imports(spark, sf_dir):
     return build.script_imports(specs, ids, [("@/", "src")], packages).select("src", "dst")
 
 
-@query_of("SELECT p_partkey, 'a/' || p_size || '/c.py' AS path FROM part")
+@query_of("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'a/' || p_size || '/c.py' WHEN 1 THEN '../é' || p_size || '/b' WHEN 2 THEN '/x' || p_size WHEN 3 THEN '.' WHEN 4 THEN '//h' || p_size || '/y' ELSE 'ü ' || p_size || '/...' END AS path FROM part""")
 def normal_paths(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", normalised(F.expr("concat('./a//b/../', p_size, '/x/./../c.py')")).alias("path"))
+    odd = F.expr(
+        """case p_partkey % 6 when 0 then concat('./a//b/../', p_size, '/x/./../c.py') when 1 then concat('../é', p_size, '/./b/') when 2 then concat('/../a/../x', p_size) when 3 then concat('p', p_size, '/..')
+        when 4 then concat('//h', p_size, '//y') else concat('ü ', p_size, '/./...') end"""
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", normalised(odd).alias("path"))
 
 
-@query_of("SELECT c_custkey, unnest(['Ctl' || c_custkey, 'Mw' || c_nationkey]) AS name FROM customer")
+@query_of("SELECT c_custkey, unnest(CASE c_custkey % 3 WHEN 0 THEN ['Ctl' || c_custkey, 'Mw' || c_nationkey] WHEN 1 THEN ['Cité' || c_custkey] ELSE [] END) AS name FROM customer")
 def route_classes(spark, sf_dir):
-    text = F.expr("concat('Route::get([Ctl', c_custkey, '::class, Mw', c_nationkey, '::class, Ctl', c_custkey, '::class]);')")
+    text = F.expr("case c_custkey % 3 when 0 then concat('Route::get([Ctl', c_custkey, '::class, Mw', c_nationkey, '::class, Ctl', c_custkey, '::class]);') when 1 then concat('App\\\\Cité', c_custkey, '::class, Été', c_custkey, '::class') else concat('Ctl', c_custkey, '::make() no class') end")
     return table(spark, sf_dir, "customer").select("c_custkey", F.explode(extract.class_names(text)).alias("name"))
 
 
-@query_of("SELECT c_custkey, 'Ev' || c_custkey AS event, unnest(['La' || c_nationkey, 'Lb' || c_nationkey]) AS listener FROM customer")
+@query_of("SELECT c_custkey, 'Ev' || c_custkey AS event, unnest(CASE c_custkey % 3 WHEN 0 THEN ['La' || c_nationkey, 'Lb' || c_nationkey] WHEN 1 THEN ['Lc' || c_custkey] ELSE [] END) AS listener FROM customer")
 def event_listeners(spark, sf_dir):
-    text = F.expr("concat('Ev', c_custkey, '::class => [La', c_nationkey, '::class, Lb', c_nationkey, '::class], No::class => []')")
+    text = F.expr("case c_custkey % 3 when 0 then concat('Ev', c_custkey, '::class => [La', c_nationkey, '::class, Lb', c_nationkey, '::class], No::class => []') when 1 then concat('Ev', c_custkey, '::class=>[\n  Lc', c_custkey, '::class,\n]') else concat('Ev', c_custkey, ' => [La::class]') end")
     pairs = table(spark, sf_dir, "customer").select("c_custkey", F.explode(extract.listener_pairs(text)).alias("p"))
     return pairs.select("c_custkey", F.col("p.event").alias("event"), F.explode("p.listeners").alias("listener"))
 

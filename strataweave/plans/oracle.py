@@ -74,3 +74,23 @@ def budgeted(ranked: str, budget: int) -> str:
     return f""",
 best AS (SELECT c.*, score, row_number() OVER (ORDER BY score DESC, id) AS rank, sum(cost) OVER (ORDER BY score DESC, id) AS used FROM costs c JOIN ({ranked}) USING (id)),
 kept AS (SELECT * FROM best WHERE rank = 1 OR used <= {budget})"""
+
+
+def tour(stops: int) -> str:
+    """The reading order of the best files by s60: of those whose needs are met, or of all, the highest (score, id), again and again."""
+    out = f""",
+best AS MATERIALIZED (SELECT id, layer, round(score, 12) AS score FROM nodes JOIN s60 USING (id) WHERE kind = 'file' ORDER BY 3 DESC, id LIMIT {stops}),
+owned AS (SELECT id, CASE WHEN kind = 'symbol' THEN path ELSE id END AS file FROM nodes),
+needs AS MATERIALIZED (
+  SELECT DISTINCT a.file AS u, b.file AS v FROM edges JOIN owned a ON a.id = src JOIN owned b ON b.id = dst
+  WHERE type IN ('calls', 'imports', 'references') AND a.file <> b.file AND a.file IN (SELECT id FROM best) AND b.file IN (SELECT id FROM best))"""
+    done = "SELECT NULL::VARCHAR AS id"
+    for k in range(1, stops + 1):
+        waits = f"EXISTS (SELECT 1 FROM needs WHERE u = best.id AND v NOT IN (SELECT id FROM o WHERE id IS NOT NULL))"
+        out += f",\no{k} AS MATERIALIZED (WITH o AS ({done}) SELECT {k}::INTEGER AS step, id FROM best WHERE id NOT IN (SELECT id FROM o WHERE id IS NOT NULL) ORDER BY {waits}, score DESC, id DESC LIMIT 1)"
+        done += f" UNION ALL SELECT id FROM o{k}"
+    three = lambda side, key: f"coalesce((SELECT list({side} ORDER BY f.score DESC, {side})[1:3] FROM needs JOIN best f ON f.id = {side} WHERE {key} = q.id), [])"
+    order = " UNION ALL ".join(f"SELECT * FROM o{k}" for k in range(1, stops + 1))
+    return out + f""",
+shown AS (SELECT step, q.id, layer, round(score, 5) AS score, {three('v', 'u')} AS uses, {three('u', 'v')} AS used_by FROM ({order}) q JOIN best USING (id)),
+stops AS (SELECT *, sum(greatest(1, round_even(length(concat_ws(' ', id, array_to_string(uses, ' '), array_to_string(used_by, ' '))) / 4.0, 0))) OVER (ORDER BY step) AS used FROM shown)"""

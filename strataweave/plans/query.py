@@ -13,7 +13,7 @@ from ..functions.tokens import estimated
 from ..model import LAYERS, Graph
 from ..operators import graph as g
 from ..operators.budget import within_budget
-from ..operators.rank import LocalGraph, is_small, pagerank, top_ranked
+from ..operators.rank import pagerank, top_ranked
 from ..operators.traverse import expanded, file_needs, reach, reading_order, resolve_one, resolve_seeds, shortest_path, steps
 
 DEPENDENTS, DEPENDENCIES = "dependents", "dependencies"
@@ -36,14 +36,14 @@ def layer_summary(graph: Graph) -> DataFrame:
     return files.groupBy("layer").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("size")).orderBy(place)
 
 
-def project_map(graph: Graph, top: int = 8) -> Answer:
+def project_map(graph: Graph, top: int = 8, strategy: str = "distributed") -> Answer:
     """The digest of a project."""
     n = g.counts(graph).collect()
     kinds, types = ({r["name"]: r["n"] for r in n if r["what"] == w} for w in ("node", "edge"))
     files = graph.nodes.where("kind = 'file'")
     whole = files.agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("size"), F.countDistinct(top_area(F.coalesce("path", F.lit("")))).alias("areas")).first()
     broken = graph.nodes.agg(F.sum(F.greatest(F.size(F.coalesce("broken_refs", F.array().cast("array<string>"))), F.lit(0))).alias("n")).first()["n"]
-    best = top_ranked(graph, pagerank(graph), limit=top).join(graph.nodes.select("id", "kind"), "id").orderBy(F.desc("score"), "id")
+    best = top_ranked(graph, ranking(graph, strategy=strategy), limit=top).join(graph.nodes.select("id", "kind"), "id").orderBy(F.desc("score"), "id")
     return {
         "project": graph.project, "files": whole["files"], "symbols": kinds.get("symbol", 0), "areas": whole["areas"], "edges": sum(types.values()), "size": whole["size"] or 0, "node_kinds": kinds, "edge_types": types,
         "by_area": [r.asDict() for r in area_digest(graph, top).collect()], "by_layer": [r.asDict() for r in layer_summary(graph).collect()],
@@ -80,58 +80,61 @@ def _answer(rows: list, columns: list[str]) -> list[Answer]:
 
 
 def _edges_of(graph: Graph, ids: list[str]) -> list[dict[str, str]]:
-    """Of a few ids: the filter goes down to the scan."""
-    few = graph.edges.where(F.col("src").isin(*ids) & F.col("dst").isin(*ids)) if len(ids) <= 1000 else g.induced_edges(graph, graph.spark.createDataFrame([(i,) for i in ids], "id string"))
+    few = g.induced_edges(graph, graph.spark.createDataFrame([(i,) for i in ids], "id string"))
     return [{"source": r["src"], "target": r["dst"], "type": r["type"]} for r in few.orderBy("src", "dst", "type").collect()]
 
 
-def focus_rows(graph: Graph, seeds: list[str], budget: int = 1500) -> DataFrame:
+def ranking(graph: Graph, seeds: DataFrame | None = None, strategy: str = "distributed") -> DataFrame:
+    """id, score to twelve digits, so that what is equal ties in whatever order it was added up."""
+    return pagerank(graph, seeds, strategy=strategy).withColumn("score", F.round("score", 12))
+
+
+def focus_rows(graph: Graph, seeds: list[str], budget: int = 1500, strategy: str = "distributed") -> DataFrame:
     """The rows of the personalised ranking that fit the budget."""
     given = graph.spark.createDataFrame([(s, 1.0) for s in seeds], "id string, weight double")
-    return within_budget(graph, pagerank(graph, given), budget)
+    return within_budget(graph, ranking(graph, given, strategy), budget)
 
 
-def focus(graph: Graph, query: str, budget: int = 1500) -> Answer:
+def focus(graph: Graph, query: str, budget: int = 1500, strategy: str = "distributed") -> Answer:
     """The smallest subgraph that matters for a task, a path or an id, within a budget of tokens."""
     seeds = resolve_seeds(graph, query)
     out: Answer = dict(query=query, seeds=seeds[:10], budget_tokens=budget, used_tokens=0, nodes=[], edges=[])
     if not seeds:
         return out | {"note": "no node matches the query"}
-    rows = focus_rows(graph, seeds, budget).orderBy("rank").withColumn("score", F.round("score", 5)).collect()
+    rows = focus_rows(graph, seeds, budget, strategy).orderBy("rank").withColumn("score", F.round("score", 5)).collect()
     return out | {"used_tokens": rows[-1]["used"], "nodes": _answer(rows, ["id", "kind", "cat", "size", "line", "deg", "score"]), "edges": _edges_of(graph, [r["id"] for r in rows])}
 
 
-def affected(graph: Graph, seeds: list[str], direction: str = DEPENDENTS, hops: int | None = None) -> DataFrame:
+def affected(graph: Graph, seeds: list[str], direction: str = DEPENDENTS, hops: int | None = None, strategy: str = "distributed") -> DataFrame:
     """id, dist (1 or more) of what a change of the seeds reaches, or what they rely on."""
     start = expanded(graph, graph.spark.createDataFrame([(s,) for s in seeds], "id string"))
-    return reach(graph, start, direction == DEPENDENTS, hops).where("dist > 0")
+    return reach(graph, start, direction == DEPENDENTS, hops, strategy=strategy).where("dist > 0")
 
 
-def impact_rows(graph: Graph, hit: DataFrame, budget: int = 1500) -> DataFrame:
+def impact_rows(graph: Graph, hit: DataFrame, budget: int = 1500, strategy: str = "distributed") -> DataFrame:
     """The affected nodes by a ranking that restarts near the seeds, as far as the budget goes."""
-    local = LocalGraph(graph) if is_small(graph) else None
-    scores = pagerank(graph, hit.select("id", (1.0 / (1 + F.col("dist"))).alias("weight")), local=local)
+    scores = ranking(graph, hit.select("id", (1.0 / (1 + F.col("dist"))).alias("weight")), strategy)
     return within_budget(graph, scores.join(hit.select("id"), "id", "left_semi"), budget).join(hit, "id")
 
 
-def impact(graph: Graph, query: str = "", seed_ids: list[str] | None = None, budget: int = 1500, direction: str = DEPENDENTS, hops: int | None = None) -> Answer:
+def impact(graph: Graph, query: str = "", seed_ids: list[str] | None = None, budget: int = 1500, direction: str = DEPENDENTS, hops: int | None = None, strategy: str = "distributed") -> Answer:
     """The blast radius of a change. Seeds are the ids given, else those that match the query."""
     seeds = [s for s in dict.fromkeys(seed_ids) if g.has_node(graph, s)] if seed_ids is not None else resolve_seeds(graph, query, 10)
     out: Answer = dict(query=query, seeds=seeds[:10], direction=direction, hops=hops, budget_tokens=budget, used_tokens=0, total_affected=0, nodes=[], edges=[])
     if not seeds:
         return out | {"note": "no node matches the seed"}
-    hit = affected(graph, seeds, direction, hops).persist()
+    hit = affected(graph, seeds, direction, hops, strategy).persist()
     try:
         total = hit.count()
         if not total:
             return out | {"note": "the change reaches nothing else"}
-        rows = impact_rows(graph, hit, budget).orderBy("rank").withColumn("score", F.round("score", 5)).collect()
+        rows = impact_rows(graph, hit, budget, strategy).orderBy("rank").withColumn("score", F.round("score", 5)).collect()
     finally:
         hit.unpersist()
     return out | {"total_affected": total, "used_tokens": rows[-1]["used"], "nodes": _answer(rows, ["id", "kind", "cat", "size", "line", "deg", "dist", "score"]), "edges": _edges_of(graph, [r["id"] for r in rows])}
 
 
-def why(graph: Graph, a: str, b: str, strategy: str = "auto") -> Answer:
+def why(graph: Graph, a: str, b: str, strategy: str = "distributed") -> Answer:
     """How two nodes are connected: the shortest chain of typed edges between them."""
     ends = [resolve_one(graph, a), resolve_one(graph, b)]
     out: Answer = dict(a=a, b=b, resolved=ends, found=False, length=0, path=[])
@@ -145,12 +148,12 @@ def why(graph: Graph, a: str, b: str, strategy: str = "auto") -> Answer:
     return out | {"found": True, "length": len(path) - 1, "path": chain}
 
 
-def tour_stops(graph: Graph, budget: int = 2000, max_stops: int = 40) -> DataFrame:
+def tour_stops(graph: Graph, budget: int = 2000, max_stops: int = 40, strategy: str = "distributed") -> DataFrame:
     """step, id, layer, score, uses, used_by, used: the most important files, what they need before them, as far as the budget goes.
 
     The order depends on at most max_stops files, and is worked out over them alone.
     """
-    best = top_ranked(graph, pagerank(graph), "file", max_stops).collect()
+    best = top_ranked(graph, ranking(graph, strategy=strategy), "file", max_stops).collect()
     spark, score = graph.spark, {r["id"]: r["score"] for r in best}
     files = spark.createDataFrame([(i,) for i in score], "id string")
     needs = [(r["u"], r["v"]) for r in file_needs(graph, files).collect()]
@@ -164,7 +167,7 @@ def tour_stops(graph: Graph, budget: int = 2000, max_stops: int = 40) -> DataFra
     return stops.join(facts, "id").select("step", "id", "layer", F.round("score", 5).alias("score"), "uses", "used_by", "used")
 
 
-def tour(graph: Graph, budget: int = 2000, max_stops: int = 40) -> Answer:
-    rows = tour_stops(graph, budget, max_stops).orderBy("step").collect()
+def tour(graph: Graph, budget: int = 2000, max_stops: int = 40, strategy: str = "distributed") -> Answer:
+    rows = tour_stops(graph, budget, max_stops, strategy).orderBy("step").collect()
     total = min(max_stops, graph.nodes.where("kind = 'file'").limit(max_stops).count())
     return {"project": graph.project, "stops": [{c: r[c] for c in ("step", "id", "layer", "score", "uses", "used_by")} for r in rows], "total_files": total, "used_tokens": rows[-1]["used"] if rows else 0, "budget_tokens": budget}

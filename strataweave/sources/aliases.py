@@ -27,22 +27,17 @@ def alias_rules(config: dict, has_src: bool) -> Rules:
     options = options if isinstance(options, dict) else {}
     base = options.get("baseUrl")
     base = base if isinstance(base, str) else "."
-    rules: dict[str, str] = {}
     listed = options.get("paths")
-    out: Rules = []
-    for name, targets in listed.items() if isinstance(listed, dict) else ():
-        to = targets[0] if isinstance(targets, list) and targets else None
-        if not isinstance(to, str):
-            continue
-        if name.endswith("/*") and to.endswith("/*"):
-            name, to = name[:-1], to[:-1]
-        elif "*" in name + to:
-            continue
-        out.append((name, posixpath.normpath(posixpath.join(base, to))))
-    rules = dict(out)
-    if has_src:
-        out += [(p, "src") for p in ("@/", "~/") if p not in rules]
-    return sorted(out, key=lambda r: -len(r[0]))
+    first = {name: next(iter(to), None) for name, to in listed.items() if isinstance(to, list)} if isinstance(listed, dict) else {}
+    known: dict[str, str] = {}
+    for name, to in first.items():
+        # a star may only stand at the very end, and on both sides
+        ends = (name[-2:], to[-2:]) if isinstance(to, str) else ()
+        cut = 1 if ends == ("/*", "/*") else 0
+        if ends and "*" not in name[: len(name) - cut] + to[: len(to) - cut]:
+            known[name[: len(name) - cut]] = posixpath.normpath(posixpath.join(base, to[: len(to) - cut]))
+    usual = {"@/": "src", "~/": "src"} if has_src else {}
+    return sorted((usual | known).items(), key=lambda rule: (-len(rule[0]), rule[0] in usual))
 
 
 def load_aliases(root: str | Path) -> Rules:

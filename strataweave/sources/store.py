@@ -1,7 +1,8 @@
 """Stored graphs: Parquet for Spark, and the canonical JSON document for other tools.
 
-A version is written as a whole into a folder of its own and then named in a pointer file, which is replaced in one step where the file
-system can do so. Readers see the old graph or the new one, never a mixture.
+A version is written as a whole into a folder of its own and then named in a pointer file with the next number, which is renamed
+into its place. Pointers aren't overwritten, and the latest counts: readers see the old graph or the new one, never a
+mixture. All of it goes through the file system of the folder, be it local or the cluster's.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from ..model import CATEGORIES, EDGE_WEIGHTS, KINDS, SCHEMA_VERSION, Graph, edges_frame, graph_of, nodes_frame
 
 FOLDER = ".strataweave"
+POINTER = "current-"
 _KNOWN = ("size", "line", "symbol", "date", "author", "subject", "broken_refs")
 
 
@@ -31,28 +34,71 @@ def write_whole(path: Path, text: str) -> None:
     os.replace(name, path)
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a folder (local, or whatever the cluster has) and the folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def save(root: str, graph: Graph, manifest: DataFrame) -> str:
-    """Writes graph and manifest; returns the folder of this version."""
-    home = Path(root) / FOLDER
+    """Writes graph and manifest, then the pointer; returns the folder of this version."""
+    spark, home = graph.spark, f"{root}/{FOLDER}"
     name = f"v-{uuid.uuid4().hex}"
     graph.nodes.write.parquet(f"{home}/{name}/nodes")
     graph.edges.write.parquet(f"{home}/{name}/edges")
     manifest.write.parquet(f"{home}/{name}/manifest")
-    write_whole(home / "current.json", json.dumps({"version": name, "schema_version": SCHEMA_VERSION, "project": graph.project}, sort_keys=True))
+    fs, folder = _files(spark, home)
+    old = [p for p, _ in _pointers(spark, root)]
+    last = max((int(p.getName()[len(POINTER) :].split(".")[0]) for p in old), default=0)
+    text = json.dumps({"version": name, "schema_version": SCHEMA_VERSION, "project": graph.project}, sort_keys=True)
+    draft, final = (spark._jvm.org.apache.hadoop.fs.Path(folder, n) for n in (f"draft-{name}.json", f"{POINTER}{last + 1:012d}.json"))
+    out = fs.create(draft, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if not fs.rename(draft, final):
+        raise OSError(f"{final} is there already: another build ended just now")
+    for p in old:
+        fs.delete(p, False)
     return f"{home}/{name}"
 
 
-def _current(root: str) -> dict | None:
-    try:
-        got = json.loads((Path(root) / FOLDER / "current.json").read_bytes())
-    except (OSError, ValueError):
-        return None
-    return got if isinstance(got, dict) and isinstance(got.get("version"), str) else None
+def _pointers(spark: SparkSession, root: str) -> list:
+    """(path, number) of the pointer files, the latest first."""
+    fs, folder = _files(spark, f"{root}/{FOLDER}")
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath() for s in fs.listStatus(folder)]
+    found = [(p, int(n)) for p in names if p.getName().startswith(POINTER) and (n := p.getName()[len(POINTER) :].removesuffix(".json")).isdigit()]
+    return sorted(found, key=lambda x: -x[1])
+
+
+def _current(spark: SparkSession, root: str) -> dict | None:
+    """What the latest readable pointer says."""
+    fs, _ = _files(spark, root)
+    for path, _ in _pointers(spark, root):
+        try:
+            stream = fs.open(path)
+            try:
+                got = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+        except (Py4JJavaError, ValueError):
+            continue
+        if isinstance(got, dict) and isinstance(got.get("version"), str):
+            return got
+    return None
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    now = _current(spark, root)
+    return None if now is None else now["version"]
 
 
 def load_graph(spark: SparkSession, root: str) -> Graph | None:
     """The stored graph; None if there is none, or it is damaged."""
-    now = _current(root)
+    now = _current(spark, root)
     if now is None:
         return None
     at = f"{root}/{FOLDER}/{now['version']}"
@@ -63,7 +109,7 @@ def load_graph(spark: SparkSession, root: str) -> Graph | None:
 
 
 def load_manifest(spark: SparkSession, root: str) -> DataFrame | None:
-    now = _current(root)
+    now = _current(spark, root)
     if now is None:
         return None
     try:

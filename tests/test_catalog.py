@@ -1,4 +1,4 @@
-"""Every query of the catalog that has SQL gives what DuckDB gives."""
+"""The queries of the catalog give what DuckDB gives; those that rank for many iterations are left to the driver's comparison."""
 
 from pathlib import Path
 
@@ -8,7 +8,7 @@ import pytest
 from strataweave.plans import catalog
 
 DATA = Path("/root/testdata/sf0.001")
-QUICK = ["area_digest", "budget_prefix", "broken_refs", "call_resolution", "doc_refs", "graph_counts", "import_resolution", "manifest_diff", "orphans", "path_labels", "personal_pagerank_10", "python_syntax", "reach_dependents", "reference_resolution", "script_imports", "shortest_chain"]
+SLOW = {"focus", "impact", "tour", "project_map", "view_rows", "backbone", "focus_30", "top_files"}
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +19,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql()) - SLOW))
 def test_matches_sql(spark, duck, name):
     got = catalog.queries()[name](spark, str(DATA))
     columns = sorted(got.columns)

@@ -98,7 +98,7 @@ def test_manifests(spark):
 def test_sources(spark, tmp_path):
     assert relaxed_json('{"a": 1, /* x */ // y\n "b": [1,],}') == {"a": 1, "b": [1]} and relaxed_json("[1]") == {} and relaxed_json("{") == {}
     config = {"compilerOptions": {"paths": {"@app/*": ["src/app/*"], "lib": ["lib/index"], "bad": 3}}}
-    assert alias_rules(config, True) == [("@app/", "src/app"), ("lib", "lib/index"), ("@/", "src"), ("~/", "src")]
+    assert alias_rules(config, True) == [("@app/", "src/app"), ("lib", "lib/index"), ("@/", "src"), ("~/", "src")] and alias_rules({"compilerOptions": {"baseUrl": "web", "paths": {"@/*": ["code/*"], "a*b/*": ["x/*"], "n/*": ["m"]}}}, True) == [("@/", "web/code"), ("~/", "src")]
     for name in ("a.py", "x.pyc", "node_modules/m.js", "p.egg-info/q.txt", "keep/b.md", "keep/b.log"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text("x")
