@@ -41,7 +41,7 @@ from .text import NOT_SPACE, U64, documents, mix, pieces, ready, signed, spans,
 ORDER = 5
 SPREAD, FOLDS, LEAST = 6.0, 10, 30
 ARRAYS_BYTES = 48_000_000
-PIECE = 4_000_000
+PIECE = 2_000_000
 START, END = U64(2), U64(3)
 #: Different grams of a language that a task gathers before it hands them on.
 GATHERED = 300_000

@@ -163,3 +163,45 @@ def test_short_lines_and_ends_of_passages(spark):
     assert sorted((r["doc_id"], texts[r["doc_id"]][r["start"] : r["end"]].lower()) for r in got if r["doc_id"] < 6) == [(2, passage), (3, line.lower()), (4, passage)]
     assert all(first[r["kept_start"] :].lower().startswith(texts[r["doc_id"]][r["start"] : r["end"]].lower()) and r["kept_doc_id"] == 1 for r in got if r["doc_id"] < 6)
     assert any(passage in texts[6][r["start"] : r["end"]] for r in got if r["doc_id"] == 6)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_substrings_against_brute_force(spark, seed):
+    """Every word of a repeated line, or of a passage of 50 words that stands earlier, goes; and no other but in repeats of 40 words."""
+    rng = random.Random(seed)
+    fresh = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(3000)}" for _ in range(n)]
+    passages, lines = [fresh(rng.randint(45, 90)) for _ in range(4)], [fresh(rng.randint(1, 15)) for _ in range(4)]
+    rows = []
+    for k in range(30):
+        parts = [fresh(rng.randint(5, 60)) for _ in range(3)]
+        for _ in range(rng.randint(0, 2)):
+            parts[rng.randrange(3)][3:3] = rng.choice(passages)
+        parts.insert(rng.randrange(4), rng.choice(lines))
+        rows.append((k, "\n".join(" ".join(p) for p in parts)))
+    rows += [(40, None), (None, rows[0][1]), (41, ""), (42, rows[3][1].upper()), (43, " ".join(passages[0] * 3)), (44, "\n".join([" ".join(lines[0])] * 4))]
+    places, seen, where = [], {}, {}
+    for i, t in sorted((r for r in rows if r[0] is not None and r[1]), key=lambda r: r[0]):
+        for number, line in enumerate(t.split("\n")):
+            places += [(i, m.start(), m.end(), m[0].lower(), number) for m in re.finditer(r"\w+", line)]
+            where.setdefault((i, number), len(places) - len(words(line)))
+    offsets = {i: [0] for i, _ in rows}
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            offsets[i].append(offsets[i][-1] + len(line) + 1)
+    places = [(i, offsets[i][n] + a, offsets[i][n] + b, w, n) for i, a, b, w, n in places]
+    must, may = set(), set()
+    for size, hit in ((50, must), (40, may)):
+        first = {}
+        for p in range(len(places) - size + 1):
+            if places[p][0] == places[p + size - 1][0]:
+                q = first.setdefault(tuple(x[3] for x in places[p : p + size]), p)
+                if q + size <= p or (q != p and places[q][0] != places[p][0]):
+                    hit.update(range(p, p + size))
+    for (i, number), p in where.items():
+        line = tuple(x[3] for x in itertools.takewhile(lambda x: x[0] == i and x[4] == number, places[p:]))
+        if line and seen.setdefault(line, (i, number)) != (i, number):
+            must.update(range(p, p + len(line)))
+    gone = set()
+    for r in substring_dedup.repeated_spans(frame(spark, rows)).collect():
+        gone |= {p for p, x in enumerate(places) if x[0] == r["doc_id"] and r["start"] <= x[1] and x[2] <= r["end"]}
+    assert must and must <= gone <= must | may
