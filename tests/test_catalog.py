@@ -8,7 +8,7 @@ import pytest
 from strataweave.plans import catalog
 
 DATA = Path("/root/testdata/sf0.001")
-SLOW = {"focus", "impact", "tour", "project_map", "view_rows", "backbone", "focus_30", "top_files"}
+SLOW = {"focus", "impact", "tour", "project_map", "view_rows", "backbone", "focus_30", "top_files", "personal_pagerank_10"}
 
 
 @pytest.fixture(scope="module")
