@@ -109,3 +109,24 @@ def test_sources(spark, tmp_path):
     log = "\x1eh1\x1fsubject one\x1f2024-01-02T03:04:05+00:00\x1fAnn\na.py\nb/c.py\n\n\x1eh2\x1fs\x1fd\x1fB"
     got = column(spark, [log], parsed_log)[0]
     assert [(c["hash"], c["author"], c["files"]) for c in got] == [("h1", "Ann", ["a.py", "b/c.py"]), ("h2", "B", [])]
+
+
+def test_blocks(spark, monkeypatch):
+    """Many blocks, hubs whose links lie where they end, ends that are no nodes, and nodes without links give what arrays give."""
+    from strataweave.operators import rank
+
+    ids = [f"f{k}" + (f"#s{j}" if j else "") for k in range(40) for j in range(4)] + ["hub", "alone"]
+    edges = [(f"f{k}", f"f{k}#s{j}", "defines") for k in range(40) for j in range(1, 4)] + [(i, "hub", "belongs_to") for i in ids[:-1]] + [(f"f{k}#s1", f"f{k * 7 % 40}", "calls") for k in range(40)]
+    graph = small(spark, [*edges, ("hub", "gone", "other"), ("gone", "f1", "other"), ("gone", "lost", "other"), ("f1", "f2", "calls"), ("f1", "f2", "imports")], ids)
+    monkeypatch.setattr(rank, "BLOCK_LINKS", 100)
+    monkeypatch.setattr(rank, "PLACE_LINKS", 60)
+    block, n, hubs = rank.blocks(graph.edges)
+    assert n == 7 and hubs == [graph.nodes.where("id = 'hub'").select(rank.name_of(F.col("id"))).first()[0]]
+    seeds = spark.createDataFrame([("f3", 1.0), ("alone", 1.0)], "id string, weight double")
+    for given in (None, seeds):
+        one, two = ({r["id"]: r["score"] for r in pagerank(graph, given, iterations=7, tolerance=0.0, strategy=s).collect()} for s in ("local", "distributed"))
+        assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], abs=1e-14) for k in one)
+    monkeypatch.setattr(rank, "BLOCK_LINKS", 20)
+    flat = small(spark, [("x#a", f"x#{k}", "calls") for k in range(300)], [f"x#{k}" for k in range(300)] + ["x#a"])
+    block, n, _ = rank.blocks(flat.edges)
+    assert flat.nodes.select(block(F.col("id")).alias("b")).distinct().count() > 1
