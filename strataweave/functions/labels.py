@@ -23,6 +23,9 @@ LAYER_WORDS = (
     ("service", "domain logic manager managers provider providers service services usecase usecases worker workers"),
     ("util", "common helper helpers lib libs shared support tool tools util utils"),
 )
+_PLACE_OF = {word: k + 1 for k, (_, words) in reversed([*enumerate(LAYER_WORDS)]) for word in words.split()}
+_LAYER_PLACE = [x for pair in _PLACE_OF.items() for x in pair]
+_LAYER_WORD = f"(?<=/)(?:{'|'.join(sorted(_PLACE_OF))})(?=/)"
 
 
 def category(path: Column) -> Column:
@@ -42,12 +45,13 @@ def category(path: Column) -> Column:
 
 def layer(kind: Column, path: Column, cat: Column) -> Column:
     """One of LAYERS; nodes that aren't files, and those without a path, are 'other'."""
-    parts = F.split(F.lower(path), "/")
-    own = stem(basename(F.lower(path)))
-    words = F.concat(parts, F.array(own), F.split(F.translate(own, "-", "_"), "_"))
+    low, slash = F.lower(path), F.lit("/")
+    own = stem(basename(low))
+    words = F.concat(slash, low, slash, own, slash, F.translate(own, "-_", "//"), slash)
     out = F.when((kind != "file") | path.isNull() | (path == ""), "other")
-    out = out.when(F.arrays_overlap(parts, F.array(F.lit("test"), F.lit("tests"))) | own.startswith("test_") | own.endswith("_test"), "tests")
+    out = out.when(F.concat(slash, low, slash).rlike("/tests?/") | own.startswith("test_") | own.endswith("_test"), "tests")
     out = out.when(cat == "data", "data").when(cat == "config", "config").when(cat.isin("doc", "memory", "structure"), "docs")
-    for name, keys in LAYER_WORDS:
-        out = out.when(F.arrays_overlap(words, F.array(*[F.lit(k) for k in keys.split()])), name)
-    return out.otherwise("core")
+    # one search for all words: a chain of conditions would split the path again for each
+    places = F.transform(F.regexp_extract_all(words, F.lit(_LAYER_WORD), F.lit(0)), lambda w: F.element_at(F.create_map(*[F.lit(x) for x in _LAYER_PLACE]), w))
+    names = F.array(*[F.lit(name) for name, _ in LAYER_WORDS], F.lit("core"))
+    return out.otherwise(F.element_at(names, F.coalesce(F.array_min(places), F.lit(len(LAYER_WORDS) + 1))))

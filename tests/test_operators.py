@@ -130,3 +130,15 @@ def test_blocks(spark, monkeypatch):
     flat = small(spark, [("x#a", f"x#{k}", "calls") for k in range(300)], [f"x#{k}" for k in range(300)] + ["x#a"])
     block, n, _ = rank.blocks(flat.edges)
     assert flat.nodes.select(block(F.col("id")).alias("b")).distinct().count() > 1
+
+
+def test_layers_search_once(spark):
+    """All words of all layers, and a plan that doesn't split the path again for each layer."""
+    words = [(name, w) for name, ws in labels.LAYER_WORDS for w in ws.split()]
+    shapes = [f"x/{w}/a.rs" for _, w in words] + [f"x/q-{w}_z.rs" for _, w in words] + [f"x/{w}.rs" for _, w in words] + [f"x/{w}x/y{w}.rs" for _, w in words]
+    rows = spark.createDataFrame([(p,) for p in shapes], "p string").select("p", labels.layer(F.lit("file"), F.col("p"), F.lit("code")).alias("l"))
+    assert [r["l"] for r in rows.collect()] == [name for name, _ in words] * 3 + ["core"] * len(words)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lower(") < 12, plan.count("lower(")
+    two = spark.createDataFrame([("views/api.rs",), ("libs/main/db.rs",)], "p string").select(labels.layer(F.lit("file"), F.col("p"), F.lit("code")).alias("l"))
+    assert [r["l"] for r in two.collect()] == ["api", "entrypoint"]
