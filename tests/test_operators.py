@@ -142,3 +142,11 @@ def test_layers_search_once(spark):
     assert plan.count("lower(") < 12, plan.count("lower(")
     two = spark.createDataFrame([("views/api.rs",), ("libs/main/db.rs",)], "p string").select(labels.layer(F.lit("file"), F.col("p"), F.lit("code")).alias("l"))
     assert [r["l"] for r in two.collect()] == ["api", "entrypoint"]
+
+
+def test_parsing_is_spread(spark):
+    from strataweave.functions.syntax import parsed
+
+    corpus = spark.range(40).coalesce(1).select(F.format_string("m%d.py", "id").alias("path"), F.lit(".py").alias("ext"), F.lit("def f(): pass").alias("text"))
+    used = parsed(corpus).select(F.spark_partition_id().alias("p"), F.size("symbols").alias("n")).collect()
+    assert len(used) == 40 and {r["n"] for r in used} == {1} and len({r["p"] for r in used}) > 3
