@@ -45,7 +45,7 @@ def normalised(path: Column) -> Column:
         return F.when((part == "") | (part == "."), done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
 
     text = F.concat(lead, F.array_join(F.aggregate(F.split(path, "/"), none, step), "/"))
-    return F.when(text == "", F.lit(".")).otherwise(text)
+    return F.regexp_replace(text, r"\A\z", ".")  # the text stands here once, so it is worked out once
 
 
 def joined(base: Column, target: Column) -> Column:

@@ -90,40 +90,47 @@ def package_map(corpus: DataFrame) -> DataFrame:
     return rows.groupBy("name").agg(F.max("path").alias("path")).select("name", dirname(F.col("path")).alias("dir"))
 
 
-def probes(base: Column, first: int, runtime: bool = True) -> Column:
-    """Array of (ord, id): a base with each suffix; then, if it ends like compiled code, without that end and with each suffix."""
-    plain = [F.struct(F.lit(first + k).alias("ord"), F.concat(base, F.lit(s)).alias("id")) for k, s in enumerate(SUFFIXES)]
-    out = F.array(*plain)
-    if not runtime:
-        return out
-    ext = extension(base)
-    short = F.substring(base, F.lit(1), F.char_length(base) - F.char_length(ext))
-    more = [F.struct(F.lit(first + len(SUFFIXES) + k).alias("ord"), F.concat(short, F.lit(s)).alias("id")) for k, s in enumerate(SUFFIXES)]
-    return F.when(ext.isin(*RUNTIME_TYPES), F.concat(out, F.array(*more))).otherwise(out)
+def suffix_index(ids: DataFrame) -> DataFrame:
+    """base, k, id: each id without every suffix that it ends with; k is the place of the suffix."""
+    i = F.col("id")
+    ends = [F.when(i.endswith(s), F.struct(F.substring(i, F.lit(1), F.char_length(i) - len(s)).alias("base"), F.lit(k).alias("k"))) for k, s in enumerate(SUFFIXES)]
+    return ids.select("id", F.inline(F.filter(F.array(*ends), lambda e: e.isNotNull()))).distinct()
+
+
+def probes(rows: DataFrame, base: str, first: Column) -> DataFrame:
+    """file, spec, ord, base of rows (file, spec, and a column of bases): a base is tried with each suffix; then, if it ends like compiled code, without that end."""
+    ext = extension(F.col(base))
+    short = F.substring(F.col(base), F.lit(1), F.char_length(base) - F.char_length("ext"))
+    whole = F.struct(first.alias("ord"), F.col(base).alias("base"))
+    less = F.when(F.col("ext").isin(*RUNTIME_TYPES), F.struct((first + len(SUFFIXES)).alias("ord"), short.alias("base")))
+    return rows.withColumn("ext", ext).select("file", "spec", F.inline(F.filter(F.array(whole, less), lambda x: x.isNotNull())))
 
 
 def script_imports(specs: DataFrame, ids: DataFrame, aliases: list[tuple[str, str]], packages: DataFrame) -> DataFrame:
     """Edges of specs (file, spec): relative paths, else aliases, longest first, else the package of the longest name that leads the specifier."""
     spec = F.col("spec")
-    near = specs.where(spec.startswith(".")).select("file", "spec", F.explode(probes(normalised(joined(dirname(F.col("file")), spec)), 0)).alias("c"))
+    near = specs.where(spec.startswith(".")).withColumn("dir", dirname(F.col("file"))).withColumn("raw", joined(F.col("dir"), spec)).withColumn("base", normalised(F.col("raw")))
+    near = probes(near, "base", F.lit(0))
     far = specs.where(~spec.startswith("."))
     parts = [near]
     for k, (prefix, to) in enumerate(aliases):
-        base = normalised(F.concat(F.lit(to + "/"), F.expr(f"substring(spec, {len(prefix) + 1})")))
-        parts.append(far.where(spec.startswith(prefix)).select("file", "spec", F.explode(probes(base, 100 * k)).alias("c")))
+        raw = F.concat(F.lit(to + "/"), F.expr(f"substring(spec, {len(prefix) + 1})"))
+        parts.append(probes(far.where(spec.startswith(prefix)).withColumn("raw", raw).withColumn("base", normalised(F.col("raw"))), "base", F.lit(100 * k)))
     bits = F.split("spec", "/")
     leads = far.select("file", "spec", F.explode(F.transform(F.sequence(F.lit(1), F.size(bits)), lambda i: F.array_join(F.slice(bits, 1, i), "/"))).alias("name"))
     best = leads.join(packages, "name").groupBy("file", "spec").agg(F.max_by("name", F.char_length("name")).alias("name"), F.max_by("dir", F.char_length("name")).alias("dir"))
     sub = F.regexp_replace(F.expr("substring(spec, char_length(name) + 1)"), "^/+", "")
     best = best.select("file", "spec", F.when(F.col("dir") == "", ".").otherwise(F.col("dir")).alias("dir"), sub.alias("sub"))
     start = 100 * len(aliases)
-    entries = [probes(normalised(joined(F.col("dir"), F.lit(e)) if e else F.col("dir")), start + 100 * k, False) for k, e in enumerate(PACKAGE_ENTRIES)]
-    tried = F.when(F.col("sub") != "", probes(normalised(joined(F.col("dir"), F.col("sub"))), start)).otherwise(F.concat(*entries))
-    parts.append(best.select("file", "spec", F.explode(tried).alias("c")))
+    inner = best.where("sub <> ''").withColumn("raw", joined(F.col("dir"), F.col("sub"))).withColumn("base", normalised(F.col("raw")))
+    parts.append(probes(inner, "base", F.lit(start)))
+    entry = F.array(*[F.struct(F.lit(start + 100 * k).alias("ord"), (joined(F.col("dir"), F.lit(e)) if e else F.col("dir")).alias("raw")) for k, e in enumerate(PACKAGE_ENTRIES)])
+    parts.append(best.where("sub = ''").select("file", "spec", F.inline(entry)).select("file", "spec", "ord", normalised(F.col("raw")).alias("base")))
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)
-    hit = found.select("file", "spec", "c.ord", "c.id").where("id <> file").join(ids, "id").groupBy("file", "spec").agg(F.min_by("id", "ord").alias("dst"))
+    # ids lose their suffixes once, instead of every specifier trying them all
+    hit = found.join(suffix_index(ids), "base").where("id <> file").groupBy("file", "spec").agg(F.min_by("id", F.col("ord") + F.col("k")).alias("dst"))
     return hit.select(F.col("file").alias("src"), "dst", F.lit("imports").alias("type")).distinct()
 
 
