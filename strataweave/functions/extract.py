@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 REFERENCE_TYPES = "adoc bash c cc cpp cs csv cfg db docx duckdb go h hpp html htm ini java json jsonl js jsx conf cjs markdown md mjs parquet pdf php ps1 psm1 py rb rs rst sh sqlite sql toml tsv tsx ts txt vue xml yaml yml".split()
 REF_STRUCT = "array<struct<target:string,kind:string>>"
 
-_URL = r"(?i)^(?:mailto:|(?:[a-z][-+.a-z0-9]*:)?//)"
+_URL = r"(?i)^(?U:\s*)(?:mailto:|(?:[a-z][-+.a-z0-9]*:)?//)"
 _LINK = r"(?U)\]\(\s*<?([^\s>)]+)>?[^)]*\)"
 _WIKI = r"\[\[([^\]\[\n]{1,300})\]\]"
 _PATH = r"(?U)(?<![-\w./\\])([0-9A-Za-z_][-\w./\\]*\.[0-9A-Za-z]{1,8})\b"
@@ -30,7 +30,8 @@ def stripped(text: Column) -> Column:
 def normal_target(raw: Column) -> Column:
     """Without code marks, anchor and query, with forward slashes."""
     bare = stripped(F.regexp_replace(stripped(raw), r"^`+|`+$", ""))
-    return stripped(F.translate(F.regexp_extract(bare, r"^([^#?]*)", 1), "\\", "/"))
+    whole = stripped(F.translate(F.regexp_extract(bare, r"^([^#?]*)", 1), "\\", "/"))
+    return F.when(raw.rlike(r"(?U)[\s`#?\\]"), whole).otherwise(raw)  # most need one search instead of five
 
 
 def has_reference_type(token: Column) -> Column:
@@ -53,7 +54,7 @@ def references(text: Column, html: Column) -> Column:
     paths = F.filter(path_tokens(text), lambda t: F.lower(F.substring_index(t, ".", -1)).isin(*REFERENCE_TYPES))
     prose = F.concat(_as("link", every(text, _LINK)), _as("wikilink", wiki), _as("path", paths))
     page = _as("link", F.filter(every(text, _ATTRIBUTE), has_reference_type))
-    found = F.filter(F.when(html, page).otherwise(prose), lambda r: ~stripped(r["target"]).rlike(_URL))
+    found = F.filter(F.when(html, page).otherwise(prose), lambda r: ~r["target"].rlike(_URL))
     found = F.transform(found, lambda r: F.struct(normal_target(r["target"]).alias("target"), r["kind"].alias("kind")))
     return F.filter(found, lambda r: r["target"] != "").cast(REF_STRUCT)
 

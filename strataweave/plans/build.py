@@ -152,10 +152,14 @@ def resolved_references(refs: DataFrame, corpus: DataFrame, ids: DataFrame) -> D
     """refs with resolved (an id or null) and broken: as a path from the document, then from the root, then a base name and then a stem that only one other file has."""
     target, file = F.col("target"), F.col("file")
     base = F.substring_index(target, "/", -1)
-    rows = refs.withColumn("near", normalised(joined(dirname(file), target))).withColumn("rooted", normalised(F.regexp_replace(target, "^/+", ""))).withColumn("base", base).withColumn("stem", stem(base))
+    rows = refs.withColumn("dir", dirname(file)).withColumn("raw", joined(F.col("dir"), target)).withColumn("bare", F.regexp_replace(target, "^/+", ""))
+    rows = rows.withColumn("near", normalised(F.col("raw"))).withColumn("rooted", normalised(F.col("bare"))).withColumn("base", base).withColumn("stem", stem(F.col("base")))
+    rows = rows.drop("dir", "raw", "bare")
+    # ids and directories in one table: one join for each way to read a target
+    known = ids.select("id", F.lit(True).alias("is_id"), F.lit(None).cast("boolean").alias("is_dir")).union(directories(corpus).select("dir", F.lit(None), F.lit(True)))
+    known = known.groupBy("id").agg(F.max("is_id").alias("is_id"), F.max("is_dir").alias("is_dir"))
     for c in ("near", "rooted"):
-        rows = rows.join(ids.select(F.col("id").alias(c), F.lit(True).alias(f"{c}_id")), c, "left")
-        rows = rows.join(directories(corpus).select(F.col("dir").alias(c), F.lit(True).alias(f"{c}_dir")), c, "left")
+        rows = rows.join(known.select(F.col("id").alias(c), F.col("is_id").alias(f"{c}_id"), F.col("is_dir").alias(f"{c}_dir")), c, "left")
     for c, key in (("base", basename(F.col("path"))), ("stem", stem(basename(F.col("path"))))):
         index = name_index(corpus, key).where("n <= 2").select(F.col("key").alias(c), F.col("n").alias(f"{c}_n"), F.col("low").alias(f"{c}_low"), F.col("high").alias(f"{c}_high"))
         rows = rows.join(index, c, "left")

@@ -68,6 +68,12 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows over many tasks: a table in a small file is read by one, which would search all the texts made of it."""
+    spark = rows.sparkSession
+    return rows.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def _ids(graph: Graph, ids: list[str]) -> DataFrame:
     return graph.spark.createDataFrame([(i,) for i in ids], "id string")
 
@@ -396,7 +402,7 @@ def decision_ids(spark, sf_dir):
 def doc_refs(spark, sf_dir):
     """Links, wikilinks and paths in prose; the URL doesn't count, and the second mention of a path neither."""
     text = F.expr("concat('[m](src/m', o_custkey, '.py#top) and [[Idea ', o_orderkey % 5, '|an idea]], `docs/x', o_orderkey % 13, '.md`; [w](https://x.org/a/b) and src/m', o_custkey, '.py')")
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.lit(".md").alias("ext"), text.alias("text"))
+    rows = spread(table(spark, sf_dir, "orders"), "o_orderkey").select(F.col("o_orderkey").cast("string").alias("path"), F.lit(".md").alias("ext"), text.alias("text"))
     found = build.document_references(rows)
     return found.select(F.col("file").cast("long").alias("o_orderkey"), "target", "kind", F.col("ord").cast("int").alias("ord"))
 
@@ -407,7 +413,7 @@ def _pages_corpus(spark, sf_dir) -> DataFrame:
     text = F.expr(
         "concat('[a](../', if(o_orderkey % 3 = 0, 'gone', 'kept'), '/c', o_custkey, '.py) [[n', o_custkey % 25, '.toml]] and [[Some Idea]] see kept/none', o_orderkey, '.py [d](../kept) [out](../../up.md) [x](http://a.b/c.md)')"
     )
-    docs = t("orders").select(F.expr("concat('docs/o', o_orderkey, '.md')").alias("path"), text.alias("text"))
+    docs = spread(t("orders"), "o_orderkey").select(F.expr("concat('docs/o', o_orderkey, '.md')").alias("path"), text.alias("text"))
     return docs.union(t("customer").select(F.expr("concat('kept/c', c_custkey, '.py')"), F.lit(None).cast("string"))).union(t("nation").select(F.expr("concat('nat/n', n_nationkey, '.toml')"), F.lit(None).cast("string")))
 
 
@@ -427,7 +433,7 @@ def reference_resolution(spark, sf_dir):
 def broken_refs(spark, sf_dir):
     """Only links into the project that lead nowhere are broken: no prose paths, directories, ideas, outside paths or URLs."""
     text = F.expr("concat('[a](missing/m', o_custkey, '.md) [[Idea ', o_orderkey, ']] see lost/none', o_orderkey, '.py [d](../d) [out](../../up.md) [x](ftp://a.b/c) [y](mailto:a@b.c) [z](//host/q.md)')")
-    corpus = table(spark, sf_dir, "orders").select(F.expr("concat('d/o', o_orderkey, '.md')").alias("path"), text.alias("text"))
+    corpus = spread(table(spark, sf_dir, "orders"), "o_orderkey").select(F.expr("concat('d/o', o_orderkey, '.md')").alias("path"), text.alias("text"))
     refs = build.resolved_references(build.document_references(corpus.withColumn("ext", F.lit(".md"))), corpus, corpus.select(F.col("path").alias("id")))
     return refs.where("broken").select("file", "target")
 
